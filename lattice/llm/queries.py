@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lattice.llm import licenses
 from lattice.llm.language_id import op10_language_id
+from lattice.llm.media import op2_media
 from lattice.llm.quality import op4_quality
 from lattice.llm.token_counts import op8_token_counts
 
@@ -15,6 +17,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_licenses": licenses.op1_licenses,
+        "op2_media": op2_media,
         "op4_quality": op4_quality,
         "op8_token_counts": op8_token_counts,
         "op10_language_id": op10_language_id,
@@ -22,4 +26,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_licenses": licenses.SQL}
