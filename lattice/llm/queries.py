@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattice.llm import licenses
+from lattice.llm import licenses, lines
 from lattice.llm.language_id import op10_language_id
 from lattice.llm.media import op2_media
 from lattice.llm.quality import op4_quality
+from lattice.llm.substring import op6_substring_dedup
 from lattice.llm.token_counts import op8_token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +21,12 @@ def queries() -> dict[str, Query]:
         "op1_licenses": licenses.op1_licenses,
         "op2_media": op2_media,
         "op4_quality": op4_quality,
+        "op6_substring_dedup": op6_substring_dedup,
         "op8_token_counts": op8_token_counts,
+        "op9_line_dedup": lines.op9_line_dedup,
         "op10_language_id": op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": licenses.SQL}
+    return {"op1_licenses": licenses.SQL, "op9_line_dedup": lines.SQL}
