@@ -115,7 +115,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     bound = F.when(F.col("__y") == 0, _share(rows, counts.get(0, 0))).otherwise(_share(rows, counts.get(1, 0)))
     chosen = marks.where(keep < bound)
     part = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).where(F.col("__t").isNotNull() & (F.col("__t") != ""))
-    got = part.join(chosen, "__id").select("__y", F.substring(F.encode("__t", "utf-8"), 1, TRAIN_BYTES).alias("t"), F.xxhash64("__id", F.lit(7)).alias("h")).toArrow()
+    # at most 2 x rows ids, whatever the tables' sizes
+    got = part.join(F.broadcast(chosen), "__id").select("__y", F.substring(F.encode("__t", "utf-8"), 1, TRAIN_BYTES).alias("t"), F.xxhash64("__id", F.lit(7)).alias("h")).toArrow()
     y = np.array(got.column("__y").to_pylist(), np.int64)
     texts = got.column("t").to_pylist()
     order = np.argsort(np.array(got.column("h").to_pylist(), np.int64), kind="stable")
