@@ -257,7 +257,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     prints = base.groupBy("chunk").applyInArrow(_runs_of_fingerprints(window, ranges), _ddl(_FINGERPRINTS))
     shared = prints.groupBy("range").applyInArrow(_shared, _ddl(_BACK))
     keys = base.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_runs_of_keys(window, ranges), _ddl(_KEYS))
-    late = keys.groupBy("range").applyInArrow(_earlier, _ddl(_BACK))
+    late = keys.groupBy("range").applyInArrow(lambda t: _earlier(t), _ddl(_BACK))
     return base.groupBy("chunk").cogroup(late.groupBy("chunk")).applyInArrow(_remove(window), _ddl(_DONE))
 
 
