@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lattice.llm import licenses, lines
+from lattice.llm.decontaminate import op5_decontaminate
 from lattice.llm.language_id import op10_language_id
 from lattice.llm.media import op2_media
+from lattice.llm.near import op3_near_dedup
+from lattice.llm.pieces import op7_pieces
 from lattice.llm.quality import op4_quality
 from lattice.llm.substring import op6_substring_dedup
 from lattice.llm.token_counts import op8_token_counts
@@ -20,8 +23,11 @@ def queries() -> dict[str, Query]:
     return {
         "op1_licenses": licenses.op1_licenses,
         "op2_media": op2_media,
+        "op3_near_dedup": op3_near_dedup,
         "op4_quality": op4_quality,
+        "op5_decontaminate": op5_decontaminate,
         "op6_substring_dedup": op6_substring_dedup,
+        "op7_pieces": op7_pieces,
         "op8_token_counts": op8_token_counts,
         "op9_line_dedup": lines.op9_line_dedup,
         "op10_language_id": op10_language_id,
