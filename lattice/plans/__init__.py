@@ -1,0 +1,9 @@
+"""Query plans over the driver tables."""
+
+
+def registered():
+    """All queries of the engine by name."""
+    from lattice.plans import cypher_queries, workload
+
+    assert cypher_queries.STATEMENTS
+    return workload.QUERIES
