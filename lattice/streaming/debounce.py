@@ -14,8 +14,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 #: The default gap, the watched endings and the path parts that are ignored.
 DEFAULT_GAP = "1500 milliseconds"
-WATCHED = (".md", ".mdx")
-IGNORED = (".git", "node_modules", "__pycache__", ".venv")
+WATCHED = (".md", ".markdown")
+IGNORED = (".git", ".venv", "node_modules", ".solo", "archive")
 
 
 def relevant(path: Column, endings: Sequence[str] = WATCHED, ignored: Sequence[str] = IGNORED) -> Column:
