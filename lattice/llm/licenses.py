@@ -7,8 +7,8 @@ occurs there has a resemblance of at least 0.29 with it and shares a band with a
 above 1 - (1 - 0.29) ** 32, or 0.9999. Shared bands retrieve templates; the exact share of a
 template's shingles within the window then decides.
 
-Only texts with one of a few anchor words are cut into windows. The anchors are chosen so that
-the shingles without any make up less than the wanted share of every template: a text without
+Only windows with one of a few anchor words are sketched. The anchors are chosen so that the
+shingles without any make up less than the wanted share of every template: a window without
 anchors cannot match, and none is lost.
 
 Null, empty and short texts match nothing. The best window of each document and template is
@@ -58,6 +58,10 @@ TEMPLATES = {
 }
 
 
+#: Words too common to be anchors.
+_COMMON = frozenset("a all and any as be by for from granted hereby in is it made may no not of on only or other part permission permitted program provided reproduced rights software source terms that the this to under use version with without work works you".split())
+
+
 def template_words(text: str) -> list[str]:
     return re.sub("[^a-z0-9]+", " ", text.lower()).split()
 
@@ -76,7 +80,7 @@ def anchors(templates: dict[str, str], share: float = CONTAINMENT) -> list[str]:
         gain: Counter[str] = Counter()
         for k, s in open_.items():
             free = [g for g in s if not any(a in g for a in chosen)]
-            for word in {w for g in free for w in g}:
+            for word in {w for g in free for w in g if w not in _COMMON and not w.isdigit()} or {w for g in free for w in g}:
                 gain[word] += min(1.0, sum(word in g for g in free) / len(sets[k]) / (1 - share)) * len(word)
         chosen.append(max(gain, key=lambda w: (gain[w], w)))
         open_ = {k: s for k, s in sets.items() if sum(not any(a in g for a in chosen) for g in s) >= share * len(s)}
@@ -96,6 +100,13 @@ def _bands(shingles: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, b))))
 
 
+def _starts(place: Column, scale: Column) -> Column:
+    """The windows of a scale that hold a place: they start every quarter scale and are five quarters long."""
+    step = (scale / 4).cast("int")
+    last = F.floor(place / step).cast("int")
+    return F.transform(F.sequence(F.greatest(last - 4, F.lit(0)), last), lambda k: F.struct(scale.alias("scale"), (k * step).alias("start")))
+
+
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     """license, scale, template_shingles and a row for each band with its minimum."""
     rows = [(k, scale_of(len(w)), t) for k, t in templates.items() if len(w := template_words(t)) >= SHINGLE]
@@ -117,12 +128,16 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, id_col: st
     lower = F.lower("__text")
     for a in words:
         likely = likely | F.contains(lower, F.lit(a))
-    shingled = source.where(likely).select("doc_id", _words(F.col("__text")).alias("__w")).select("doc_id", F.size("__w").alias("__n"), _shingles(F.col("__w")).alias("__s")).where(F.size("__s") > 0)
-    starts = F.flatten(F.transform(F.array(*map(F.lit, scales)), lambda s: F.transform(F.sequence(F.lit(0), F.col("__n") - 1, (s / 4).cast("int")), lambda at: F.struct(s.alias("scale"), at.alias("start")))))
-    windows = shingled.select("doc_id", "__n", "__s", F.explode(starts).alias("__at")).select(
+    # explode(array(x)) keeps x from being evaluated anew wherever it is used
+    cut = source.where(likely).select("doc_id", F.explode(F.array(_words(F.col("__text")))).alias("__w"))
+    places = F.filter(F.transform("__w", lambda w, i: F.when(w.isin(words), i)), lambda i: i.isNotNull())
+    anchored = cut.select("doc_id", "__w", F.explode(F.array(places)).alias("__p")).where(F.size("__p") > 0)
+    shingled = anchored.select("doc_id", "__p", F.size("__w").alias("__n"), F.explode(F.array(_shingles(F.col("__w")))).alias("__s"))
+    around = F.flatten(F.transform("__p", lambda p: F.flatten(F.transform(F.array(*map(F.lit, scales)), lambda s: _starts(p, s)))))
+    windows = shingled.select("doc_id", "__n", "__s", F.explode(F.array_distinct(around)).alias("__at")).select(
         "doc_id", F.col("__at.scale").alias("__scale"), F.col("__at.start").alias("__start"),
         F.least((F.col("__at.scale") * 5 / 4).cast("int"), F.col("__n") - F.col("__at.start")).alias("__len"),
-        F.slice("__s", F.col("__at.start") + 1, (F.col("__at.scale") * 5 / 4).cast("int") - (SHINGLE - 1)).alias("__ws"),
+        F.explode(F.array(F.slice("__s", F.col("__at.start") + 1, (F.col("__at.scale") * 5 / 4).cast("int") - (SHINGLE - 1)))).alias("__ws"),
     ).where(F.size("__ws") > 0)
     banded = windows.select("*", F.posexplode(_bands(F.col("__ws"))).alias("__band", "__min"))
     side = F.broadcast(found) if len(templates) <= BROADCAST_TEMPLATES else found
