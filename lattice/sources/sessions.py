@@ -39,7 +39,7 @@ def parse(lines: DataFrame) -> DataFrame:
 
 
 def _first(c: str) -> Column:
-    return F.min_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("line_no")))
+    return F.min(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct("line_no", F.col(c).alias("v"))))["v"]
 
 
 def _said(text: Column) -> Column:
@@ -64,9 +64,9 @@ def _spoken(rows: DataFrame) -> DataFrame:
 def sessions(rows: DataFrame) -> DataFrame:
     """Session nodes: the first values that are not empty, first and last times in file order, sums and counts; sessions of no prompt and no tool are left out."""
     meta = rows.groupBy("session_id", "dir").agg(
-        _first("cwd").alias("project_path"), _first("timestamp").alias("started_at"), F.max_by("timestamp", F.when(F.coalesce("timestamp", F.lit("")) != "", F.col("line_no"))).alias("ended_at"),
+        _first("cwd").alias("project_path"), _first("timestamp").alias("started_at"), F.max(F.when(F.coalesce("timestamp", F.lit("")) != "", F.struct("line_no", F.col("timestamp").alias("v"))))["v"].alias("ended_at"),
         F.coalesce(F.sum(F.when((F.col("type") == "system") & (F.col("subtype") == "turn_duration"), F.col("durationMs"))), F.lit(0)).alias("duration_ms"),
-        F.min_by("message.model", F.when((F.col("type") == "assistant") & (F.coalesce("message.model", F.lit("")) != ""), F.col("line_no"))).alias("model"), _first("gitBranch").alias("git_branch"), _first("slug").alias("slug"),
+        F.min(F.when((F.col("type") == "assistant") & (F.coalesce("message.model", F.lit("")) != ""), F.struct("line_no", F.col("message.model").alias("v"))))["v"].alias("model"), _first("gitBranch").alias("git_branch"), _first("slug").alias("slug"),
     )
     n = _spoken(rows).groupBy("session_id").agg(F.count_if(F.col("what") == "prompt").alias("user_prompts"), F.count_if(F.col("what") == "tool").alias("tool_uses")).where((F.col("user_prompts") > 0) | (F.col("tool_uses") > 0))
     out = meta.join(n, "session_id")

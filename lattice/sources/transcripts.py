@@ -101,7 +101,7 @@ def proportional_chunks(transcripts: DataFrame, marks: DataFrame, videos: DataFr
     m = marks.withColumn("hi", F.lead("start_seconds").over(w)).join(t, key)
     n = F.length("text")
     place = lambda c: F.least(F.greatest((c / F.col(duration) * n).cast("int"), F.lit(0)), n)
-    m = m.withColumn("b", place(F.col("start_seconds"))).withColumn("e", F.greatest(F.coalesce(place(F.col("hi")), n), F.col("b")))
+    m = m.withColumn("b", place(F.col("start_seconds"))).withColumn("e", F.greatest(F.when(F.col("hi").isNull(), n).otherwise(place(F.col("hi"))), F.col("b")))
     section = F.trim(F.substr("text", F.col("b") + 1, F.col("e") - F.col("b")))
     m = m.select(key, "position", "title", "start_time", "start_seconds", section.alias("section")).where(F.col("section") != "")
     parts = F.when(F.length("section") <= CHUNK_MOST, F.array("section")).otherwise(split_column(F.col("section")))
