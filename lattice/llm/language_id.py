@@ -24,6 +24,8 @@ from lattice.llm.common import blocks, held_out, prepare, table
 from lattice.llm.kernels import mix
 
 BUCKETS = 1 << 15
+#: Bytes of text scored at once, for up to 8 languages; fewer for more.
+BLOCK = 1 << 18
 MAX_LANGS = 256
 TRAIN_ROWS = 40_000
 UNDETERMINED = "und"
@@ -37,10 +39,10 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     Runs of anything but letters count as one space; a text without letters has none.
     """
     lower = [t.lower() for t in texts]
-    joined = "\n".join(lower)
+    joined = "".join(t + "\n" for t in lower)  # every text ends alike, wherever it stands
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.fromiter((len(t) for t in lower), np.int64, len(lower))
-    ends = np.cumsum(lengths + 1)[:-1] - 1
+    ends = np.cumsum(lengths + 1) - 1
     letter = _letter_mask(code)
     sep = np.zeros(len(code), bool)
     sep[ends] = True
@@ -92,7 +94,7 @@ def train(docs: DataFrame, usable: Column, *, id_col: str = "doc_id", text_col:
         held: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
         for batch in batches:
-            for b in blocks(batch):
+            for b in blocks(batch, "text", BLOCK):
                 langs = b.column("lang").to_pylist()
                 g, per = grams([t or "" for t in b.column("text").to_pylist()])
                 names = sorted(set(langs))
@@ -109,6 +111,8 @@ def train(docs: DataFrame, usable: Column, *, id_col: str = "doc_id", text_col:
     names = sorted(set(got.column("lang").to_pylist()))
     if len(names) > MAX_LANGS:
         raise ValueError(f"{len(names)} languages; at most {MAX_LANGS} fit the broadcast table")
+    if not names:
+        return names, np.zeros((BUCKETS + 1, 0), np.float32)
     table_ = np.zeros((BUCKETS + 1, len(names)))
     at = {x: k for k, x in enumerate(names)}
     rows_ = got.column("bucket").to_numpy()
@@ -141,12 +145,16 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *, id_col: str
     names, logp = model
     shared = docs.sparkSession.sparkContext.broadcast(logp)
     keep = keep if keep is not None else [id_col]
-    source = docs.select(*keep, F.col(text_col).alias("__text"))
+    # the text goes to the workers once, whether it is kept or not
+    sent = [*keep, *([] if text_col in keep else [text_col])]
+    source = docs.select(*sent)
+    at = sent.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = BLOCK * 8 // max(8, len(names))
         for batch in batches:
-            for b in blocks(batch, "__text", (1 << 19) * 8 // max(8, len(names))):
-                lang, score = score_texts([t or "" for t in b.column("__text").to_pylist()], names, shared.value)
+            for b in blocks(batch, text_col, size):
+                lang, score = score_texts([t or "" for t in b.column(at).to_pylist()], names, shared.value)
                 yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema)
