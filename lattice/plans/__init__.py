@@ -1,9 +1,15 @@
 """Query plans over the driver tables."""
 
+from __future__ import annotations
 
-def registered():
+from typing import TYPE_CHECKING
+
+if TYPE_CHECKING:
+    from lattice.plans.workload import Query
+
+
+def registered() -> dict[str, Query]:
     """All queries of the engine by name."""
     from lattice.plans import cypher_queries, workload
 
-    assert cypher_queries.STATEMENTS
-    return workload.QUERIES
+    return workload.QUERIES | cypher_queries.QUERIES
