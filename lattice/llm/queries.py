@@ -6,14 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattice.llm import licenses, lines
+from lattice.llm import licenses, lines, substring
 from lattice.llm.decontaminate import op5_decontaminate
 from lattice.llm.language_id import op10_language_id
 from lattice.llm.media import op2_media
 from lattice.llm.near import op3_near_dedup
 from lattice.llm.pieces import op7_pieces
 from lattice.llm.quality import op4_quality
-from lattice.llm.substring import op6_substring_dedup
 from lattice.llm.token_counts import op8_token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,7 +25,7 @@ def queries() -> dict[str, Query]:
         "op3_near_dedup": op3_near_dedup,
         "op4_quality": op4_quality,
         "op5_decontaminate": op5_decontaminate,
-        "op6_substring_dedup": op6_substring_dedup,
+        "op6_substring_dedup": substring.op6_substring_dedup,
         "op7_pieces": op7_pieces,
         "op8_token_counts": op8_token_counts,
         "op9_line_dedup": lines.op9_line_dedup,
@@ -35,4 +34,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": licenses.SQL, "op9_line_dedup": lines.SQL}
+    return {"op1_licenses": licenses.SQL, "op6_substring_dedup": substring.SQL, "op9_line_dedup": lines.SQL}

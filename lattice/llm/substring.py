@@ -326,3 +326,13 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     out = dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + {WINDOW - 1}], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM w)),
+firsts AS (SELECT h, min(doc_id) AS f FROM windows GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM windows JOIN firsts USING (h) WHERE f < doc_id),
+every AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM w),
+kept AS (SELECT e.doc_id, count(*) FILTER (g.p IS NOT NULL) AS n, string_agg(word, ' ' ORDER BY e.p) FILTER (g.p IS NULL) AS t FROM every e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.p = g.p GROUP BY 1)
+SELECT w.doc_id, len(w.w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""

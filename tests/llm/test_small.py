@@ -153,6 +153,34 @@ def test_near_classes(spark, odd, empty):
     assert near.near_classes(empty).count() == 0
 
 
+def test_near_classes_against_all_pairs(spark):
+    r = random.Random(11)
+    hot = prose(77, 40)  # a passage in half of the texts
+    texts = []
+    for k in range(40):
+        w = (f"{hot} " if k % 2 else "").split() + prose(500 + k // 4, 70).split()
+        for _ in range(r.randrange(0, 5)):
+            w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    import pyarrow as pa
+
+    _, _, words, at = near.kmers(pa.table({"t": texts}), "t")
+    seq = [words[at[k] : at[k + 1]] for k in range(len(texts))]
+    parent = list(range(len(texts)))
+
+    def find(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if near.similarity(seq[i], seq[j]) > 0:
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    assert {x["doc_id"]: x["class_id"] for x in near.near_classes(table(spark, texts)).collect()} == {k: find(k) for k in range(len(texts))}
+
+
 def test_alignment_is_the_banded_lcs():
     r = random.Random(1)
 
