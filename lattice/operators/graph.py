@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattice import schema
+from lattice.session import ensure_checkpoints
 
 Triple = tuple[str, str, str]
 
@@ -110,10 +111,7 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, *, checkpoint: bool =
             step = step.join(seen.select("id"), "id", "left_anti")
         step = step.withColumn("hops", F.lit(k).cast("bigint"))
         if checkpoint:
-            if not edges.sparkSession.sparkContext.getCheckpointDir():
-                import tempfile
-
-                edges.sparkSession.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lattice-"))
+            ensure_checkpoints(edges.sparkSession)
             step = step.checkpoint()
         seen = step if seen is None else seen.unionByName(step)
         frontier = step.select(F.col("id").alias("at"))

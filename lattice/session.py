@@ -38,3 +38,10 @@ def ship(spark: SparkSession) -> None:
             z.write(p, str(Path("lattice") / p.relative_to(root)))
     sc.addPyFile(out)
     _shipped.add(sc.applicationId)
+
+
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to the folder the session names; to a local one only where it names none."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lattice-"))

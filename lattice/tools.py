@@ -253,11 +253,12 @@ class Engine:
             kinds.append(top.select(F.col("doc_id").alias("id"), "source_type", "source_name", "title", "url", "content", "created", "tags", "relevance"))
         if self.store.version("video_chunks"):
             c = with_siblings(self.store.read("video_chunks"), ["video_id"], "chunk_index", ["text"])
-            top = V.knn(c, q, n, key="chunk_index").withColumnRenamed("score", "relevance")
+            c = c.withColumn("id", F.concat_ws(":", "video_id", F.col("chunk_index").cast("string")))
+            top = V.knn(c, q, n).withColumnRenamed("score", "relevance")
             v = self.store.read("videos").select("video_id", "title", "url", "source_name", "created")
             own = top.join(v, "video_id")
             own = own if source is None else own.where(F.col("source_name") == source)
-            kinds.append(own.select(F.concat_ws(":", "video_id", F.col("chunk_index").cast("string")).alias("id"), F.concat(F.lit("youtube-"), "chunk_type").alias("source_type"), "source_name", "title", "url", F.col("text").alias("content"), "created", "chapter", "start_time", "start_seconds", "relevance", S.sibling_context(F.col("prev_text"), F.col("text"), F.col("next_text"), CONTEXT).alias("context")))
+            kinds.append(own.select("id", F.concat(F.lit("youtube-"), "chunk_type").alias("source_type"), "source_name", "title", "url", F.col("text").alias("content"), "created", "chapter", "start_time", "start_seconds", "relevance", S.sibling_context(F.col("prev_text"), F.col("text"), F.col("next_text"), CONTEXT).alias("context")))
         return rows(V.merge_kinds(kinds, n)) if kinds else []
 
     def source_tags(self) -> list[dict]:
