@@ -181,6 +181,13 @@ def test_near_classes_against_all_pairs(spark):
     assert {x["doc_id"]: x["class_id"] for x in near.near_classes(table(spark, texts)).collect()} == {k: find(k) for k in range(len(texts))}
 
 
+@pytest.mark.parametrize("spokes", [10, 100, 1000])
+def test_near_classes_of_a_hub_of_the_largest_id(spark, spokes):
+    body = [f"b{k}" for k in range(200)]
+    texts = [" ".join([*body, *(f"s{k}x{i}" for i in range(40))]) for k in range(spokes)] + [" ".join(body)]
+    assert {x["class_id"] for x in near.near_classes(table(spark, texts)).collect()} == {0}
+
+
 def test_alignment_is_the_banded_lcs():
     r = random.Random(1)
 
