@@ -157,6 +157,16 @@ def callers_residual(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, (F.col("l_partkey") == F.col("p")) & (F.col("sa") != F.col("sb"))).groupBy(F.col("l_orderkey").alias("order_key")).agg(F.count("*").alias("callers"))
 
 
+@query("SELECT l_orderkey AS order_key, sum(n - own)::BIGINT AS callers FROM lineitem JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_suppkey IS NOT NULL GROUP BY 1) USING (l_partkey) JOIN (SELECT l_partkey, l_suppkey, count(*) AS own FROM lineitem GROUP BY 1, 2) USING (l_partkey, l_suppkey) GROUP BY 1 HAVING sum(n - own) > 0")
+def callers_residual_all(spark: SparkSession, d: str) -> DataFrame:
+    """``callers_residual`` for every order: lines of the part less those of the same supplier, by aggregates instead of all pairs."""
+    line = load(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").where(F.col("l_suppkey").isNotNull())
+    own = line.groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("own"))
+    other = own.join(own.groupBy("l_partkey").agg(F.sum("own").alias("n")), "l_partkey").select("l_partkey", "l_suppkey", (F.col("n") - F.col("own")).alias("other"))
+    per = line.groupBy("l_orderkey", "l_partkey", "l_suppkey").agg(F.count("*").alias("k")).join(other, ["l_partkey", "l_suppkey"])
+    return per.groupBy(F.col("l_orderkey").alias("order_key")).agg(F.sum(F.col("k") * F.col("other")).alias("callers")).where("callers > 0")
+
+
 @query("SELECT 'parent' AS role, r_name AS name, n_name AS of FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 'child', n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey")
 def hierarchy_up_down(spark: SparkSession, d: str) -> DataFrame:
     g = star_graph(spark, d)
@@ -221,6 +231,14 @@ def merge_with_precedence(spark: SparkSession, d: str) -> DataFrame:
     return J.merge_by_key(a, b, "doc_id", {"lang": "left", "n": "greatest"})
 
 
+@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, coalesce(nullif(d.lang, ''), l.lang) AS lang, greatest(d.n, l.n) AS n FROM (SELECT doc_id, lang, n_chars AS n FROM documents) d FULL JOIN (SELECT doc_id, CASE quality WHEN 1 THEN 'good' ELSE 'bad' END AS lang, 1000::BIGINT AS n FROM labels) l ON d.doc_id = l.doc_id")
+def merge_with_precedence_all(spark: SparkSession, d: str) -> DataFrame:
+    """``merge_with_precedence`` of every document."""
+    a = load(spark, d, "documents").select("doc_id", "lang", F.col("n_chars").alias("n"))
+    b = load(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("lang"), F.lit(1000).cast("bigint").alias("n"))
+    return J.merge_by_key(a, b, "doc_id", {"lang": "left", "n": "greatest"})
+
+
 @query("SELECT o_custkey, o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderdate DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
 def priority_dedup(spark: SparkSession, d: str) -> DataFrame:
     o = load(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderdate")

@@ -44,6 +44,14 @@ def test_plans_push_filters_and_prune_columns(spark):
     assert "embedding" not in plan("graph_stats_nodes")
 
 
+def test_residual_callers_and_merge_cover_every_row(spark, duck):
+    want = duck.sql("SELECT a.l_orderkey, count(*) FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey GROUP BY 1").fetchall()
+    got = QUERIES["callers_residual_all"].run(spark, SF).select("order_key", "callers").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and max(k for k, _ in want) > 50
+    ids = {r[0] for r in duck.sql("SELECT doc_id FROM documents UNION SELECT doc_id FROM labels").fetchall()}
+    assert {r["doc_id"] for r in QUERIES["merge_with_precedence_all"].run(spark, SF).collect()} == ids
+
+
 def test_entry_points(spark):
     import __spark_entry__ as E
 
