@@ -279,12 +279,21 @@ def fetch_in_rank_order(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT a.l_partkey AS s, b.l_partkey AS t FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey),
 r AS (SELECT t AS id, 1::BIGINT AS hops FROM e WHERE s = 1 UNION SELECT t, hops + 1 FROM r JOIN e ON s = id WHERE hops < 2) SELECT id, min(hops) AS hops FROM r GROUP BY 1""")
 def bounded_paths_1_2(spark: SparkSession, d: str) -> DataFrame:
-    """Parts that share an order with part 1, or with one that does: distinct ends and least hops."""
+    """Parts that share an order with part 1, or with one that does: distinct ends and least hops. The third hop is in ``bounded_paths_1_3``."""
     line = load(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
     e = line.select("l_orderkey", F.col("l_partkey").alias("src")).join(line.select("l_orderkey", F.col("l_partkey").alias("dst")), "l_orderkey").where("src <> dst")
     return G.reach(e.select("src", "dst"), spark.createDataFrame([(1,)], "at bigint"), 2)
 
 
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT a.l_partkey AS s, b.l_partkey AS t FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey),
+r AS (SELECT t AS id, 1::BIGINT AS hops FROM e WHERE s = 1 UNION SELECT t, hops + 1 FROM r JOIN e ON s = id WHERE hops < 3) SELECT id, min(hops) AS hops FROM r GROUP BY 1""")
+def bounded_paths_1_3(spark: SparkSession, d: str) -> DataFrame:
+    """Parts that up to three shared orders lead to from part 1, as surveyed: distinct ends and least hops."""
+    line = load(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    e = line.select("l_orderkey", F.col("l_partkey").alias("src")).join(line.select("l_orderkey", F.col("l_partkey").alias("dst")), "l_orderkey").where("src <> dst")
+    return G.reach(e.select("src", "dst"), spark.createDataFrame([(1,)], "at bigint"), 3)
+
+
 @query("""SELECT event_id, user_id, (SELECT max(h) FROM (SELECT user_id AS u, event_id AS h, ts AS t FROM events WHERE event_type = 'signup') s WHERE s.u = e.user_id AND s.t = (SELECT max(ts) FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'signup' AND x.ts <= e.ts)) AS chapter FROM events e WHERE event_type <> 'signup'""")
 def interval_assignment(spark: SparkSession, d: str) -> DataFrame:
     e = load(spark, d, "events")

@@ -52,6 +52,16 @@ def test_residual_callers_and_merge_cover_every_row(spark, duck):
     assert {r["doc_id"] for r in QUERIES["merge_with_precedence_all"].run(spark, SF).collect()} == ids
 
 
+def test_bounded_paths_go_three_hops(spark, tmp_path):
+    rows = [(o, p) for o in range(1, 6) for p in (o, o + 1)] + [(9, 1), (9, 7)]  # a chain of parts 1 to 6, and 7 beside 1
+    spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    hops, frontier = {}, {1}
+    for k in (1, 2, 3):
+        frontier = {q for o, p in rows for w, q in rows if o == w and p in frontier and p != q} - set(hops)
+        hops |= dict.fromkeys(frontier, k)
+    assert {r["id"]: r["hops"] for r in QUERIES["bounded_paths_1_3"].run(spark, str(tmp_path)).collect()} == hops and hops[4] == 3 and 5 not in hops
+
+
 def test_entry_points(spark):
     import __spark_entry__ as E
 
