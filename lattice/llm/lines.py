@@ -9,8 +9,8 @@ MIN_WORDS words.
 
 The result: a block is 1, 2, 4, ... consecutive lines with at least MIN_WORDS words in all. Each
 block whose lines also start earlier, in the order of (id, line), is a later copy, and its lines
-go. Longer repeated runs are unions of such blocks, so a maximal repeated run of enough words goes
-as a whole; a short line goes only within a run.
+go; a short line goes only within a block. Maximal runs are not known: a repeated run whose words
+are enough only at another length (3 lines of 3 words) stays, wholly or in part.
 
 Blank lines stay. Null texts have no lines and stay null. Rows without id come last in the order.
 Rows with one id are told apart by their text; rows that repeat both get one and the same result.
