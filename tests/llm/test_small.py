@@ -365,19 +365,20 @@ def test_token_counts(spark, odd, empty):
 
 
 def kept_lines(texts, least=lines.MIN_WORDS):
+    """From the definition: each run of lines, of any length, with enough words that starts earlier too goes."""
     split = [(t or "").split("\n") for t in texts]
     inked = [[(no, x) for no, x in enumerate(s) if x.strip(" \t\x0b\f\r")] for s in split]
     n = lambda x: len(re.findall(r"[^ \t\x0B\f\r]+", x))
-    first, blocks = {}, []
-    for d, seq in enumerate(inked):
-        for i in range(len(seq)):
-            for size in (1, 2, 4, 8):
-                b = seq[i : i + size]
-                if len(b) == size and sum(n(x) for _, x in b) >= least:
-                    key = tuple(x for _, x in b)
-                    first[key] = min(first.get(key, (d, i)), (d, i))
-                    blocks.append((key, d, i, [no for no, _ in b]))
-    gone = {(d, no) for key, d, i, nos in blocks if first[key] != (d, i) for no in nos}
+    places = [(d, i) for d, seq in enumerate(inked) for i in range(len(seq))]
+    gone = set()
+    for p, (d, i) in enumerate(places):
+        for e, j in places[:p]:
+            size = 0
+            while i + size < len(inked[d]) and j + size < len(inked[e]) and inked[d][i + size][1] == inked[e][j + size][1]:
+                size += 1
+            run = inked[d][i : i + size]
+            if sum(n(x) for _, x in run) >= least:
+                gone |= {(d, no) for no, _ in run}
     return [None if t is None else "\n".join(x for no, x in enumerate(s) if (d, no) not in gone) for d, (t, s) in enumerate(zip(texts, split, strict=True))]
 
 
@@ -394,6 +395,41 @@ def test_line_dedup(spark, odd, empty):
     assert lines.dedup(empty).count() == 0
 
 
+def test_repeated_runs_of_short_lines(spark):
+    """Runs of 1 to 12 lines of 1 to 3 words, among lines of their own, go wherever they have 8 words."""
+    r = random.Random(21)
+    texts = []
+    for size in range(1, 13):
+        for words in (1, 2, 3):
+            run = [" ".join(f"r{size}x{words}y{k}z{i}" for i in range(words)) for k in range(size)]
+            texts += ["\n".join([f"a{len(texts)}", *run, f"b{len(texts)}"]) for _ in range(2)]
+    mixed = [prose(5, 50), "one", "two"]
+    texts += ["\n".join(mixed), "\n".join(["x", *mixed, "y"]), "\n".join(["same"] * 12), "m\nn\n" * 9]
+    texts += ["\n".join(r.choice(["p q", "s", "t u v", "w"]) for _ in range(r.randrange(3, 15))) for _ in range(30)]
+    got = {x["doc_id"]: x["text"] for x in lines.dedup(table(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == kept_lines(texts)
+
+
+def test_lines_of_long_texts_and_clashing_columns(spark):
+    long = "\n".join(f"line number {k} of a text that is long enough" for k in range(40_000))
+    rows = [(1, long, 1, "a", 5, "k"), (2, f"first\n{long}\nlast", 2, "b", 6, "k"), (2, "other text of the same id\nand a second line", 3, "c", 7, "k")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, __key int, __id string, __h bigint, __runs string")
+    out = {(x["doc_id"], x["__key"]): x for x in lines.dedup(docs).collect()}
+    assert out[(2, 2)]["text"] == "first\nlast" and out[(2, 2)]["__n_removed"] == 40_000 and out[(1, 1)]["text"] == long and out[(2, 3)]["__n_removed"] == 0
+    assert [out[k]["__id"] for k in sorted(out)] == ["a", "b", "c"] and out[(1, 1)]["__h"] == 5
+
+
+def test_line_dedup_sql_and_brute_force(spark):
+    import duckdb
+    import pyarrow as pa
+
+    r = random.Random(9)
+    texts = ["\n".join(r.choice(["p q", "s", "t u v", "w", "", prose(1, 9), prose(2, 4)]) for _ in range(r.randrange(0, 15))) for _ in range(40)] + [None, ""]
+    c = duckdb.connect()
+    c.register("documents", pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())}))
+    assert [x[0] for x in c.sql(f"WITH {lines.kept_sql()} SELECT text FROM kept ORDER BY doc_id").fetchall()] == kept_lines(texts)
+
+
 # --- 10 languages
 
 
