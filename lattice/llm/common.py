@@ -70,6 +70,21 @@ def utf8(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+#: A group with one part in HOT of all rows is hot; there are at most HOT of them.
+HOT = 4096
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: str | list[str], size: str = "__size") -> DataFrame:
+    """``rows`` with what ``groups`` says of their group, for groups of which it has one row each, with their ``size``.
+
+    The hot groups, at most HOT by their sizes, are joined by broadcast, so that none lands in one
+    task; the others by a shuffle. Both frames are read more than once: pass stored ones.
+    """
+    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    hot, cold = groups.where(F.col(size) * HOT >= total).drop(size), groups.where(F.col(size) * HOT < total).drop(size)
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot), on, "left_anti").join(cold, on))
+
+
 def blocks(batch: pa.RecordBatch | pa.Table, column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch | pa.Table]:
     """Slices of whole rows with at most ``limit`` text bytes, or one longer row."""
     if not batch.num_rows:

@@ -14,8 +14,8 @@ also starts earlier is a later copy, and its lines go; a short line goes only wi
 enough to name runs of up to MIN_WORDS lines: a line has a word at least, so that every line of
 a longer repeated run lies in a repeated run of MIN_WORDS lines. Rounds end there.
 
-Lines are hashed once and stored. A name that is common (HOT of all) is joined by broadcast, at
-most HOT such names; the others by a shuffle, so that no task gets all copies of a line.
+Lines are hashed once and stored. Common names are joined by broadcast, the others by a shuffle, so
+that no task gets all copies of a line.
 
 Blank lines stay. Null texts have no lines and stay null. Rows without id come last in the order.
 Rows with one id are told apart by their text; rows that repeat both get one and the same result.
@@ -31,12 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattice.llm.common import blocks, prepare, scratch, table, utf8
+from lattice.llm.common import blocks, join_groups, prepare, scratch, table, utf8
 from lattice.llm.kernels import split_spans
 
 MIN_WORDS = 8
-#: A name with one part in HOT of all rows is common; there are at most HOT such names.
-HOT = 4096
 _KEY = ["__id", "__h"]
 _BREAK = np.zeros(256, bool)
 _BREAK[[9, 10, 11, 12, 13, 32]] = True
@@ -110,11 +108,8 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int =
 
     def intervals(suffixes: DataFrame, name: str) -> DataFrame:
         """The suffixes whose name another has too, and __later: whether an earlier one has it."""
-        total = suffixes.count()
-        found = saved(suffixes.groupBy("__a", "__b").agg(F.min(place).alias("__first"), F.count("*").alias("__size")).where("__size > 1"), f"intervals-{name}")
-        hot = found.where(F.col("__size") * HOT >= total).drop("__size")
-        cold = found.where(F.col("__size") * HOT < total).drop("__size")
-        both = suffixes.join(F.broadcast(hot), ["__a", "__b"]).unionByName(suffixes.join(F.broadcast(hot), ["__a", "__b"], "left_anti").join(cold, ["__a", "__b"]))
+        found = suffixes.groupBy("__a", "__b").agg(F.min(place).alias("__first"), F.count("*").alias("__size")).where("__size > 1")
+        both = join_groups(suffixes, saved(found, f"intervals-{name}"), ["__a", "__b"])
         return both.withColumn("__later", ~place.eqNullSafe(F.col("__first"))).drop("__first")
 
     source = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__h"), F.col(text_col).alias("__text"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -96,6 +97,20 @@ def test_media_round_trip(spark, odd, empty, tmp_path):
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["payload_sha256"], r["n_bytes"]) for r in back) == want
     one = next(r for r in back if r["doc_id"] == 1)
     assert one["payload_bytes"] == 64 and one["tail_crc32"] == zlib.crc32(bytes(64))
+    features = {r["doc_id"]: r for r in back if r["doc_id"] is not None}
+    for r in odd.where("doc_id IS NOT NULL").collect():
+        raw = (r["text"] or "").encode()
+        raw += bytes(-len(raw) % 64 if raw else 64)
+        lines_ = [raw[k : k + 64] for k in range(0, len(raw), 64)]
+        bins, bands, per, extra, at = [sum(x // 32 == k for x in raw) for k in range(8)], [], len(lines_) // 8, len(lines_) % 8, 0
+        for k in range(8):
+            own = b"".join(lines_[at : at + per + (k < extra)])
+            at += per + (k < extra)
+            bands.append(sum(own) // max(len(own), 1))
+        got = features[r["doc_id"]]
+        assert got["feature"] == f"64x{len(lines_)};sum={sum(raw)};hist={','.join(map(str, bins))};bands={','.join(map(str, bands))}"
+        stored = media.encode_png(raw)
+        assert (got["media_bytes"], got["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
     media.write_archives(empty, root + "e")
     assert media.read_media(spark, root + "e").count() == 0
 
@@ -207,6 +222,29 @@ def test_alignment_is_the_banded_lcs():
     assert near.similarity(x, np.append(x[:95], x[:5] + np.uint64(500))) == pytest.approx(95 / 105)
 
 
+def test_alignment_of_long_texts():
+    r = random.Random(5)
+    x = [r.randrange(20_000) for _ in range(200_000)]
+    y = [w for w in x if r.random() > 0.002]
+    for _ in range(400):
+        y[r.randrange(len(y))] = -1
+    started = time.process_time()
+    s = near.similarity(np.array(x, np.int64).view(np.uint64), np.array(y, np.int64).view(np.uint64))
+    assert 0.98 < s < 1 and time.process_time() - started < 8
+    for _ in range(20):
+        a = [r.randrange(30) for _ in range(r.randrange(900, 1500))]
+        b = [w for w in a if r.random() > 0.1]
+        assert near.longest_common(a, b, 2000) == near._banded(a, b, 2000) and near._banded(a, b, 300) <= near._banded(a, b, 2000)
+
+
+def test_near_classes_of_rows_that_share_an_id(spark):
+    texts, ids = [prose(1, 80), prose(2, 80), prose(3, 80), prose(2, 80), prose(1, 80)], [5, 5, 6, 7, 5]
+    out = near.near_members(table(spark, texts, ids)).collect()
+    assert sorted((x["doc_id"], x["class_id"], x["__first"]) for x in out) == [(5, 5, True)] * 3 + [(6, 6, True), (7, 5, False)]
+    named = table(spark, texts).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    assert {x["doc_id"]: x["class_id"] for x in near.near_classes(named).collect()} == {"d0": "d0", "d1": "d1", "d2": "d2", "d3": "d1", "d4": "d0"}
+
+
 def test_components(spark, tmp_path):
     r = random.Random(2)
     edges = [(k, k + 1) for k in range(40) if k % 9] + [(r.randrange(60, 90), r.randrange(60, 90)) for _ in range(30)]
@@ -242,6 +280,51 @@ def test_quality(spark, odd, empty):
     assert {r["score"] for r in quality.score(docs, quality.train(docs, labels.where("false"))).collect()} == {0.5}
 
 
+def test_quality_features_and_fit_by_brute_force():
+    import zstandard
+
+    r = random.Random(8)
+    texts = [(" ".join(r.choice(["alpha", "beta", "gamma", "x9"]) for _ in range(r.randrange(0, 900)))).encode() for _ in range(30)] + [b"", b"a"]
+    good, bad = quality._dictionary([t for t in texts[:15] if t]), quality._dictionary([t.upper() for t in texts[15:] if t])
+    got = quality.features(texts, quality._compressors(good, bad))
+    args = {"level": quality.LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+    for k, t in enumerate(texts):
+        size = [0, 0, 0]
+        for at in range(0, len(t), quality.BLOCK):
+            for j, d in enumerate((None, good, bad)):
+                c = zstandard.ZstdCompressor(**args) if d is None else zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), **args)
+                size[j] += len(c.compress(t[at : at + quality.BLOCK]))
+        want = (len(t), (size[2] - size[1]) / size[0], np.log(size[0] / (len(t) + 16))) if t else (0, 0, 0)
+        assert got[k] == pytest.approx(want)
+    y = np.array([int(r.random() < 0.5) for _ in texts], float)
+    w = quality._fit_curve(got, y)
+
+    def loss(v):
+        z = quality._design(got) @ v
+        return float(np.sum(np.log1p(np.exp(z)) - y * z) + 0.005 * v @ v)
+
+    assert all(loss(w) <= loss(w + d) + 1e-9 for d in 0.01 * np.random.default_rng(0).normal(size=(200, len(w))))
+
+
+def test_quality_learns_whole_texts_within_its_bound(spark):
+    docs = table(spark, [("good words in a row " * 300) + "END" for _ in range(10)] + ["BAD!! " * 900 for _ in range(10)] + ["other text"], [*range(20), 3])
+    labels = spark.createDataFrame([(k, int(k < 10)) for k in range(20)], "doc_id bigint, quality int")
+    model = quality.train(docs, labels, size=20_000)
+    s = {(r["doc_id"]): r["score"] for r in quality.score(docs, model).collect() if r["doc_id"] != 3}
+    assert all((v > 0.5) == (k < 10) for k, v in s.items())
+    assert quality.train(docs, labels, size=5).base == 0.5  # no text fits: nothing learnt
+
+
+def test_quality_held_out_on_the_given_tables(spark):
+    from lattice.llm.common import held_out
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    rows = quality.op4_quality(spark, "/root/testdata/sf0.01").where("held_out").join(labels.select("doc_id", "quality"), "doc_id").collect()
+    y, s = np.array([r["quality"] for r in rows]), np.array([r["score"] for r in rows])
+    auc = np.mean([(a > b) + 0.5 * (a == b) for a in s[y == 1] for b in s[y == 0]])
+    assert docs.where(held_out()).count() >= len(rows) > 50 and auc > 0.98
+
+
 # --- 5 decontamination
 
 
@@ -276,6 +359,52 @@ def test_smith_waterman():
         assert align(a, b)[0] * 2 * len(a) == pytest.approx(brute(a.tolist(), b.tolist()))
 
 
+def edited(words, r, rate, kinds=3):
+    out = []
+    for w in words:
+        if r.random() >= rate:
+            out.append(w)
+        else:
+            kind = r.randrange(kinds)
+            out += [f"e{r.randrange(10**6)}"] if kind == 0 else [w, f"e{r.randrange(10**6)}"] if kind == 1 else []
+    return out
+
+
+def leaks_by_brute_force(texts, items, least=0.5):
+    """Every item against every whole text, with no seeds."""
+    import pyarrow as pa
+
+    from lattice.llm.decontaminate import folded_words
+
+    a, b = (folded_words(pa.table({"t": pa.array(x, pa.large_string())}), "t") for x in (texts, items))
+    cut = lambda f, k: f[0][f[1][k] : f[1][k + 1]]
+    return {(d, k): s for d in range(len(texts)) for k in range(len(items)) if len(cut(b, k)) and (s := align(cut(b, k), cut(a, d))[0]) >= least}
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3])
+def test_contamination_recall_by_edit_rate(spark, rate):
+    r = random.Random(int(rate * 100))
+    items = [prose(1000 + k, 40, 3000) for k in range(60)]
+    texts = [f"{prose(2000 + k, 30, 3000)} {' '.join(edited(items[k].split(), r, rate))} {prose(3000 + k, 30, 3000)}" for k in range(60)]
+    want = leaks_by_brute_force(texts, items)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(x["doc_id"], x["item_id"]): x["score"] for x in contamination(table(spark, texts), bench).collect()}
+    assert got.keys() <= want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+    assert len(got) >= 0.99 * len(want)
+
+
+@pytest.mark.parametrize("every", [3, 4, 5, 6])
+@pytest.mark.parametrize("kind", [0, 1, 2])
+def test_contamination_of_regular_edits(spark, every, kind):
+    items = [prose(4000 + k, 40, 3000) for k in range(10)]
+    one = [lambda w: ["x"], lambda w: [w, "x"], lambda w: []][kind]
+    texts = [" ".join(x for i, w in enumerate(t.split()) for x in (one(w) if i % every == every - 1 else [w])) for t in items]
+    want = leaks_by_brute_force(texts, items)
+    got = contamination(table(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got} == want.keys()
+    assert len(want) == 10 or (every, kind) == (3, 2)
+
+
 # --- 6 substrings
 
 
@@ -357,6 +486,14 @@ def test_token_counts(spark, odd, empty):
     for k, x in enumerate(texts):
         n = len(t.encode(x or "", add_special_tokens=False).ids)
         assert (out[k]["n_tokens"], out[k]["n_bytes"], out[k]["over_limit"]) == (n, len((x or "").encode()), n > 1024), k
+    for x in texts:  # cut as finely as can be, the counts still add up
+        parts = token_counts.safe_pieces((x or "")[:20_000], 1, ("<|endoftext|>",))
+        assert sum(len(t.encode(p, add_special_tokens=False).ids) for p in parts) == len(t.encode((x or "")[:20_000], add_special_tokens=False).ids)
+    r = random.Random(6)
+    for _ in range(2000):
+        x = "".join(r.choice("aZ9 '\n\t.-s漢、é\u00a0t<|") for _ in range(30))
+        assert sum(len(t.encode(p, add_special_tokens=False).ids) for p in token_counts.safe_pieces(x, 1)) == len(t.encode(x, add_special_tokens=False).ids), x
+    assert len(token_counts.safe_pieces("abc123" * 9000)) > 1 < len(token_counts.safe_pieces("line\n" * 30_000))
     assert token_counts.token_counts(odd, path).count() == odd.count() and token_counts.token_counts(empty, path).count() == 0
     assert all("".join(token_counts.safe_pieces(x, 50)) == x for x in texts if x)
 
@@ -449,4 +586,5 @@ def test_language_id(spark, odd, empty):
     un = {x["doc_id"]: x["lang_pred"] for x in language_id.predict(odd, model).collect()}
     assert [un[k] for k in (0, 1, 2, 4)] == ["und"] * 4 and un[3] != "und"
     assert language_id.predict(empty, model).count() == 0
+    assert language_id.predict(table(spark, ["\U00030000", "\U000e0001"]), model).orderBy("doc_id").collect()[0]["lang_pred"] != "und"
     assert {x["lang_pred"] for x in language_id.predict(docs, language_id.train(docs.where("false"), F.lit(True))).collect()} == {"und"}
