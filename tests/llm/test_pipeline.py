@@ -69,3 +69,47 @@ def test_sql_of_queries(spark, folder):
         df = queries()[name](spark, folder)
         cols = sorted(df.columns)
         assert sorted(map(tuple, df.select(*cols).collect())) == sorted(c.sql(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall()), name
+
+
+def stage(name):
+    import corpus_pipeline as C
+
+    return dict(C.STAGES)[name]
+
+
+@pytest.mark.parametrize("name", ["language_id", "line_dedup", "near_dedup", "decontaminate", "sentencepiece"])
+def test_stage_on_odd_tables(spark, folder, name):
+    """Null ids and texts, empty and very long texts, repeated rows, one id with several texts, clashing columns, no rows."""
+    long = prose(70, 60_000)
+    rows = [
+        (1, prose(71), "en", "s", 1), (1, prose(71), "en", "s", 1), (1, prose(72), "en", "s", 1), (2, prose(73), "en", "s", 1), (None, prose(74), None, None, None),
+        (None, prose(74), None, None, None), (3, None, "en", "s", 0), (4, "", "en", "s", 0), (5, long, "en", "s", 9), (6, None, None, None, None),
+    ]
+    ddl = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, __id string, __h int, __key int, __first int, __text string, __rep int"
+    docs = spark.createDataFrame([(*r, "x", "y", k, k, k, "z", k) for k, r in enumerate(rows)], ddl)
+    out = stage(name)(spark, docs, folder)
+    got = out.collect()
+    assert stage(name)(spark, docs.limit(0), folder).count() == 0
+    if name == "sentencepiece":
+        assert len(got) == len(rows) and all(r["round_trip"] for r in got)
+        return
+    assert out.columns == docs.columns
+    marks = sorted(r["__key"] for r in got)
+    # repeated rows have one result in line_dedup; one of them stays in near_dedup
+    want = {"language_id": [0, 1, 2, 3, 4, 5, 8], "near_dedup": [0, 2, 3, 4, 5, 6, 7, 8, 9]}.get(name, list(range(10)))
+    if name == "near_dedup":
+        marks = sorted({0 if k == 1 else k for k in marks}) if len(marks) == len(want) else marks
+    assert marks == want
+    assert all(r["__h"] == r["__key"] and r["__id"] == "y" and r["score"] == "x" for r in got)
+    assert name == "line_dedup" or {r["__key"]: r["text"] for r in got} == {k: rows[k][1] for k in (r["__key"] for r in got)}
+
+
+def test_near_dedup_keeps_what_is_nobodys_copy(spark, folder):
+    docs = spark.createDataFrame([(5, prose(81), "en", "s", 0), (5, prose(82), "en", "s", 0), (6, prose(83), "en", "s", 0), (7, prose(82), "en", "s", 0)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted((r["doc_id"], r["text"]) for r in stage("near_dedup")(spark, docs, folder).collect()) == sorted([(5, prose(81)), (5, prose(82)), (6, prose(83))])
+
+
+def test_stages_without_the_other_columns(spark, folder):
+    docs = spark.createDataFrame([(1, prose(1)), (2, prose(2))], "doc_id bigint, text string")
+    for name in ("line_dedup", "near_dedup", "decontaminate", "sentencepiece"):
+        assert stage(name)(spark, docs, folder).count() == 2
