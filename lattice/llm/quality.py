@@ -7,9 +7,10 @@ size to the length, for text that compresses better than either dictionary can s
 logistic curve, fitted on labelled rows that the dictionaries have not seen, turns these
 normalised sizes into a probability of label 1. Blocks make the measure independent of length.
 
-Learning reads at most TRAIN_ROWS labelled rows of each label, drawn by a hash of the id, and
-at most TRAIN_BYTES of each (the documented bound of the training sample). Scores read whole
-texts. Empty and null texts get the score of zero evidence (the label's base rate, within 0
+Learning reads at most TRAIN_ROWS labelled rows of each label, drawn by a hash of the id, whole, as
+many as fit TRAIN_BYTES for each label (the documented bound of the training sample: a text that
+does not fit is left out, none is cut). Of rows that share an id, one is learnt, that of the least
+text hash. Scores read whole texts. Empty and null texts get the score of zero evidence (the label's base rate, within 0
 to 1). With labels of one kind only, every score is that label; with none, 0.5.
 """
 
@@ -27,13 +28,13 @@ from pyspark.sql import functions as F
 from lattice.llm.common import blocks, held_out, prepare, table, utf8
 
 BLOCK, DICT_BYTES, LEVEL = 1024, 112_000, 3
-TRAIN_ROWS, TRAIN_BYTES = 3000, 8192
+TRAIN_ROWS, TRAIN_BYTES = 3000, 16 << 20
 THRESHOLD = 0.3
 
 
 @dataclass(frozen=True)
 class Model:
-    """Two dictionaries and the weights of (bias, difference, plain ratio, their product)."""
+    """Two dictionaries and the weights of (bias, difference, plain ratio, size of the difference)."""
 
     good: bytes
     bad: bytes
@@ -107,16 +108,26 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"\n".join(pieces)[-DICT_BYTES:]
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> Model:
     """Learns from the texts of ``docs`` whose id ``labels`` marks 0 or 1 (of repeated marks the largest counts)."""
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__y"))
     counts = {r["__y"]: r["n"] for r in marks.groupBy("__y").agg(F.count("*").alias("n")).collect()}
     keep = F.pmod(F.xxhash64("__id"), F.lit(1 << 30))
     bound = F.when(F.col("__y") == 0, _share(rows, counts.get(0, 0))).otherwise(_share(rows, counts.get(1, 0)))
     chosen = marks.where(keep < bound)
-    part = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).where(F.col("__t").isNotNull() & (F.col("__t") != ""))
-    # at most 2 x rows ids, whatever the tables' sizes
-    got = part.join(F.broadcast(chosen), "__id").select("__y", F.substring(F.encode("__t", "utf-8"), 1, TRAIN_BYTES).alias("t"), F.xxhash64("__id", F.lit(7)).alias("h")).toArrow()
+    part = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"), F.xxhash64(text_col).alias("__x")).where(F.col("__t").isNotNull() & (F.col("__t") != ""))
+    # about 2 x rows ids, whatever the tables' sizes
+    sizes = part.join(F.broadcast(chosen), "__id").groupBy("__id", "__y").agg(F.min(F.struct("__x", F.octet_length("__t").alias("n"))).alias("m"))
+    drawn = sizes.select("__id", "__y", "m.*", F.xxhash64("__id", F.lit(7)).alias("h")).orderBy("h", "__id").collect()
+    left = {0: size, 1: size}
+    fits = []
+    for r in drawn:
+        if r["n"] <= left[r["__y"]]:
+            left[r["__y"]] -= r["n"]
+            fits.append((r["__id"], r["__x"], r["__y"], r["h"]))
+    kind, label_kind = labels.schema[id_col].dataType.simpleString(), labels.schema[label_col].dataType.simpleString()
+    named = docs.sparkSession.createDataFrame(fits, f"__id {kind}, __x long, __y {label_kind}, h long")
+    got = part.join(F.broadcast(named), ["__id", "__x"]).dropDuplicates(["__id"]).select("__y", F.encode("__t", "utf-8").alias("t"), "h").toArrow()
     y = np.array(got.column("__y").to_pylist(), np.int64)
     texts = got.column("t").to_pylist()
     order = np.argsort(np.array(got.column("h").to_pylist(), np.int64), kind="stable")
