@@ -80,8 +80,8 @@ _letters = np.zeros(0, bool)
 def _letter_mask(code: np.ndarray) -> np.ndarray:
     global _letters
     if not len(_letters):
-        _letters = np.fromiter((chr(i).isalpha() for i in range(0x30000)), bool, 0x30000)
-    return np.where(code < len(_letters), _letters[np.minimum(code, len(_letters) - 1)], False)
+        _letters = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    return _letters[code]
 
 
 def train(docs: DataFrame, usable: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:

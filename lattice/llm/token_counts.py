@@ -2,14 +2,17 @@
 
 Texts are cut at safe boundaries into pieces of bounded size and the pieces dealt into
 batches of equal bytes; each batch is encoded and only its lengths are kept. A boundary
-is safe before a space that follows a visible character and precedes one: no token of a
-byte-level pattern spans it, so the counts of the pieces add up to the text's.
+is safe where no token of the byte-level pattern spans it, so that the counts of the pieces add up
+to the text's: before a white-space character between two visible ones, and between letters,
+digits and marks, for ASCII and for ideographs with their marks, but not after an apostrophe, which
+begins a contraction. No boundary lies within a special token's string.
 
 Null and empty texts have 0 tokens. Equal texts of a batch are encoded once.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +25,14 @@ from lattice.llm.common import prepare, table, utf8
 BATCH_BYTES, PIECE_CHARS = 1 << 18, 1 << 15
 LIMIT = 1024
 
+_MARKS = r"!-/:-@\[-`{-~"
+_AFTER_MARKS = r"!-&(-/:-@\[-`{-~"  # without the apostrophe
+_SAFE = re.compile(
+    r"(?<=\S)(?=\s\S)|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
+    rf"|(?<=[A-Za-z0-9])(?=[{_MARKS}])|(?<=[{_AFTER_MARKS}])(?=[A-Za-z0-9])"
+    r"|(?<=[\u4e00-\u9fa5])(?=[\u3001\u3002\uff0c\uff1f])|(?<=[\u3001\u3002\uff0c\uff1f])(?=[\u4e00-\u9fa5])"
+)
+
 _loaded: dict[str, object] = {}
 
 
@@ -34,19 +45,19 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
-def safe_pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
+def safe_pieces(text: str, size: int = PIECE_CHARS, special: tuple[str, ...] = ()) -> list[str]:
     """Parts of at least ``size`` characters, cut at safe boundaries alone; without one a part is longer."""
     if len(text) <= size:
         return [text]
     out, at = [], 0
     while len(text) - at > size:
-        cut = text.find(" ", at + size)
-        while cut > 0 and (cut + 1 >= len(text) or text[cut - 1].isspace() or text[cut + 1].isspace()):
-            cut = text.find(" ", cut + 1)
-        if cut < 0:
+        m = _SAFE.search(text, at + size)
+        while m and any(text.find(x, max(m.start() - len(x) + 1, 0), m.start() + len(x) - 1) >= 0 for x in special):
+            m = _SAFE.search(text, m.start() + 1)
+        if not m:
             break
-        out.append(text[at:cut])
-        at = cut
+        out.append(text[at : m.start()])
+        at = m.start()
     out.append(text[at:])
     return out
 
@@ -54,6 +65,7 @@ def safe_pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
 def count_texts(texts: list[str], path: str, batch_bytes: int = BATCH_BYTES) -> np.ndarray:
     """Tokens of each text."""
     encode = tokenizer(path).encode_batch_fast
+    special = tuple(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
     unique: dict[str, int] = {}
     which = [unique.setdefault(t, len(unique)) for t in texts]
     counts = np.zeros(len(unique), np.int64)
@@ -70,10 +82,10 @@ def count_texts(texts: list[str], path: str, batch_bytes: int = BATCH_BYTES) ->
         held = 0
 
     for text, k in unique.items():
-        for piece in safe_pieces(text) if text else ():
+        for piece in safe_pieces(text, special=special) if text else ():
             batch.append(piece)
             owner.append(k)
-            held += len(piece)
+            held += len(piece.encode())
             if held >= batch_bytes:
                 flush()
     if batch:
