@@ -5,9 +5,10 @@ uncompressed ZIP archives of bounded size. A task names its archives afresh and
 as rows of a manifest; the manifest, written once, lists what finished tasks wrote, so that
 archives of lost or repeated tasks are never read.
 
-``MediaArchive`` is the source: it plans byte ranges over the archives of a manifest, and each
-range reads the members whose header starts in it, found in the archive's own directory. A
-member is checked against the directory's CRC and, on failure, read again by its offset, alone,
+``MediaArchive`` is the source: it plans byte ranges over the archives of each file of the manifest,
+laid end to end. The driver sees the manifest's files and their footers, not its rows. A range reads
+the archives that start in it, each archive's own directory once; of an archive longer than a
+range, every range reads the members whose header starts in it. A member is checked against the directory's CRC and, on failure, read again by its offset, alone,
 with the file opened anew. Batches leave through Arrow, bounded by bytes.
 
 Null texts count as empty; an empty payload is one row of zeros. Ids may be null or repeat:
@@ -28,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +38,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from lattice.llm.common import prepare, scratch, table
 
 WIDTH = 64
-SHARD_BYTES, SPLIT_BYTES, BATCH_BYTES = 16 << 20, 8 << 20, 2 << 20
+SHARD_BYTES, SPLIT_BYTES, BATCH_BYTES = 8 << 20, 8 << 20, 2 << 20
 _MAGIC = b"\x89PNG\r\n\x1a\n"
 
 
@@ -137,13 +139,13 @@ def write_archives(docs: DataFrame, root: str, *, id_col: str = "doc_id", text_c
 
 @dataclass
 class ByteRange(InputPartition):
-    archive: str
+    manifest: str
     start: int
     end: int
 
-    def __init__(self, archive: str, start: int, end: int) -> None:
-        super().__init__((archive, start, end))
-        self.archive, self.start, self.end = archive, start, end
+    def __init__(self, manifest: str, start: int, end: int) -> None:
+        super().__init__((manifest, start, end))
+        self.manifest, self.start, self.end = manifest, start, end
 
 
 class MediaReader(DataSourceReader):
@@ -154,34 +156,45 @@ class MediaReader(DataSourceReader):
         self.retries = int(options.get("retries", 3))
 
     def partitions(self) -> list[ByteRange]:
-        import pyarrow.dataset as ds
-
         where, base = filesystem(self.root)
         files = [f.path for f in where.get_file_info(fs.FileSelector(f"{base}/manifest")) if f.path.endswith(".parquet")]
         out = []
-        for row in ds.dataset(files, filesystem=where, format="parquet").to_table().to_pylist() if files else []:
-            out += [ByteRange(row["archive"], at, at + self.split) for at in range(0, row["bytes"], self.split)]
+        for path in sorted(files):
+            with where.open_input_file(path) as f:
+                footer = pq.ParquetFile(f).metadata
+            column = footer.schema.to_arrow_schema().get_field_index("bytes")
+            # rows times the largest archive: no less than the archives' bytes together
+            groups = [footer.row_group(k) for k in range(footer.num_row_groups)]
+            most = sum(g.num_rows * g.column(column).statistics.max for g in groups if g.num_rows)
+            out += [ByteRange(path, at, at + self.split) for at in range(0, most, self.split)]
         return out or [ByteRange("", 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        if not partition.archive:
+        if not partition.manifest:
             return
         where, base = filesystem(self.root)
-        path = f"{base}/{partition.archive}"
-        with where.open_input_file(path) as f, zipfile.ZipFile(f) as z:
-            members = sorted((m for m in z.infolist() if partition.start <= m.header_offset < partition.end), key=lambda m: m.header_offset)
-            rows: list[dict] = []
-            held = 0
-            for m in members:
-                media = self._member(where, path, f, m)
-                note = json.loads(m.comment)
-                rows.append({"doc_id": note["id"], "n_bytes": note["n"], "media": media})
-                held += len(media)
-                if held >= self.batch:
-                    yield pa.RecordBatch.from_pylist(rows, SCHEMA)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, SCHEMA)
+        with where.open_input_file(partition.manifest) as f:
+            archives = pq.read_table(f, columns=["archive", "bytes"]).to_pylist()
+        rows: list[dict] = []
+        held = at = 0
+        for a in archives:
+            start, at = at, at + a["bytes"]
+            whole = a["bytes"] <= self.split
+            if not (partition.start <= start < partition.end if whole else start < partition.end and at > partition.start):
+                continue
+            path = f"{base}/{a['archive']}"
+            with where.open_input_file(path) as f, zipfile.ZipFile(f) as z:
+                members = sorted((m for m in z.infolist() if whole or partition.start <= start + m.header_offset < partition.end), key=lambda m: m.header_offset)
+                for m in members:
+                    media = self._member(where, path, f, m)
+                    note = json.loads(m.comment)
+                    rows.append({"doc_id": note["id"], "n_bytes": note["n"], "media": media})
+                    held += len(media)
+                    if held >= self.batch:
+                        yield pa.RecordBatch.from_pylist(rows, SCHEMA)
+                        rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, SCHEMA)
 
     def _member(self, where: fs.FileSystem, path: str, f: pa.NativeFile, m: zipfile.ZipInfo) -> bytes:
         """The member's bytes, checked; each further attempt opens the file anew at its offset."""
