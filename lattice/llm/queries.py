@@ -34,4 +34,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": licenses.SQL, "op6_substring_dedup": substring.SQL, "op9_line_dedup": lines.SQL}
+    return {"op1_licenses": licenses.sql(), "op6_substring_dedup": substring.SQL, "op9_line_dedup": lines.SQL}
