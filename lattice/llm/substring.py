@@ -13,8 +13,9 @@ into the same key ranges everywhere, compressed as sorted differences, and merge
    have different keys. Back go the keys of which an earlier id exists in another chunk.
 3. Each chunk marks the words its windows cover.
 
-``FingerprintIndex`` does the same for batch after batch against history: it keeps runs of
-(key, first id) in Parquet, merge-joins each new batch with them, and compacts runs into one.
+``FingerprintIndex`` does the same for batch after batch against history: it keeps sorted runs of
+(key, first id) in Parquet, merge-joins each new batch with them, and compacts FANOUT runs of a
+level into one of the next. The list of runs is a file beside them, so that any later process goes on.
 
 Null text: no words. A row without id is kept whole and is nobody's earlier copy. Rows of one id
 never remove each other's words. Documents of fewer words than a window lose none.
@@ -22,21 +23,27 @@ never remove each other's words. Documents of fewer words than a window lose non
 
 from __future__ import annotations
 
+import json
 import math
+import uuid
 from collections.abc import Callable
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattice.llm.common import blocks, prepare, scratch, table, text_bytes, utf8
 from lattice.llm.kernels import gram_hashes, gram_starts, pack, pack_raw, span_hashes, unpack, unpack_raw, word_spans
+from lattice.llm.media import filesystem
 
 WINDOW = 13
 CHUNK_BYTES, RANGE_KEYS = 8 << 20, 1 << 20
+#: Runs of one level that are compacted into one of the next.
+FANOUT = 4
 _SHIFT = np.uint64(16)
 
 
@@ -265,20 +272,48 @@ class FingerprintIndex:
     """Sorted immutable runs of (window key, first id) under ``path``, for batches that arrive over time.
 
     ``add`` returns the batch with the words of known windows removed and appends the batch's run;
-    ``compact`` merges all runs into one. A run that a failed ``add`` leaves is not listed and
-    never read. Batches must come in the order of their ids for the result to be that of ``dedup``
-    on all of them; otherwise a batch is only judged against what came before.
+    runs of one level are compacted into the next as soon as there are FANOUT of them. A run counts
+    only once the list of runs names it: what a failed ``add`` leaves is never read, and its number is
+    not used again. Batches must come in the order of their ids for the result to be that of
+    ``dedup`` on all of them; otherwise a batch is only judged against what came before. One writer
+    at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, *, window: int = WINDOW, ranges: int = 64) -> None:
-        self.spark, self.window, self.ranges = spark, window, ranges
+    def __init__(self, spark: SparkSession, path: str | None = None, *, window: int = WINDOW, ranges: int = 64, fanout: int = FANOUT) -> None:
+        self.spark, self.window, self.ranges, self.fanout = spark, window, ranges, fanout
         self.path = path or scratch(spark, "fingerprints")
-        self.runs: list[str] = []
-
-    def history(self) -> DataFrame:
-        if not self.runs:
-            return self.spark.createDataFrame([], _ddl(_KEYS))
-        return self.spark.read.parquet(*self.runs)
+        self._files, self._base = filesystem(self.path)
+        known = self._read()
+        if known and (known["window"], known["ranges"]) != (window, ranges):
+            raise ValueError(f"the index at {self.path} has windows of {known['window']} words in {known['ranges']} ranges")
+
+    def _read(self) -> dict:
+        path = f"{self._base}/_runs.json"
+        if self._files.get_file_info(path).type == fs.FileType.NotFound:
+            return {}
+        with self._files.open_input_stream(path) as f:
+            return json.loads(f.read())
+
+    def _list(self, runs: list[tuple[str, int]]) -> None:
+        self._files.create_dir(self._base, recursive=True)
+        new = f"{self._base}/_runs.{uuid.uuid4().hex}"
+        with self._files.open_output_stream(new) as f:
+            f.write(json.dumps({"window": self.window, "ranges": self.ranges, "runs": runs}).encode())
+        self._files.move(new, f"{self._base}/_runs.json")
+
+    @property
+    def runs(self) -> list[tuple[str, int]]:
+        """(name, level) of each run, oldest first."""
+        return [(n, level) for n, level in self._read().get("runs", [])]
+
+    def history(self, runs: list[tuple[str, int]] | None = None) -> DataFrame:
+        names = [f"{self.path}/{n}" for n, _ in (self.runs if runs is None else runs)]
+        return self.spark.read.parquet(*names) if names else self.spark.createDataFrame([], _ddl(_KEYS))
+
+    def _write(self, keys: DataFrame) -> str:
+        name = f"run-{uuid.uuid4().hex}"
+        keys.groupBy("range").applyInArrow(_merged(self.ranges), _ddl(_KEYS)).write.parquet(f"{self.path}/{name}")
+        return name
 
     def add(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         window, ranges = self.window, self.ranges
@@ -291,22 +326,31 @@ class FingerprintIndex:
             unique, owner = _first_owner(k, docs_)
             return pa.Table.from_pylist(_key_rows(unique, owner, t.column("doc_id").to_numpy(), ranges, chunk), _KEYS)
 
-        keys = base.groupBy("chunk").applyInArrow(batch_keys, _ddl(_KEYS))
-        before = self.history()
-        run = f"{self.path}/run-{len(self.runs):06d}"
-        keys.groupBy("range").applyInArrow(_merged(ranges), _ddl(_KEYS)).write.mode("overwrite").parquet(run)
-        late = keys.groupBy("range").cogroup(before.groupBy("range")).applyInArrow(_earlier, _ddl(_BACK))
+        # the chunks' runs are hashed once, for the join with history and for the batch's own run
+        where = f"{self.path}/batch-{uuid.uuid4().hex}"
+        base.groupBy("chunk").applyInArrow(batch_keys, _ddl(_KEYS)).write.parquet(where)
+        keys = self.spark.read.parquet(where)
+        before = self.runs
+        late = keys.groupBy("range").cogroup(self.history(before).groupBy("range")).applyInArrow(_earlier, _ddl(_BACK))
         out = base.groupBy("chunk").cogroup(late.groupBy("chunk")).applyInArrow(_remove(window), _ddl(_DONE))
-        self.runs.append(run)
+        self._list([*before, (self._write(keys), 0)])
+        level = 0
+        while sum(x == level for _, x in self.runs) >= self.fanout:
+            self._merge(level)
+            level += 1
         return out
 
+    def _merge(self, level: int | None) -> None:
+        """The runs of a level (of all, if null) in one of the next; the old ones stay on disk for readers that have begun."""
+        runs = self.runs
+        old = [r for r in runs if level is None or r[1] == level]
+        if len(old) > 1:
+            new = (self._write(self.history(old)), max(x for _, x in old) + 1)
+            self._list([new if r == old[0] else r for r in runs if r == old[0] or r not in old])
+
     def compact(self) -> None:
-        """One run in place of all; the old ones stay on disk for readers that have begun."""
-        if len(self.runs) < 2:
-            return
-        run = f"{self.path}/run-{len(self.runs):06d}-compacted"
-        self.history().groupBy("range").applyInArrow(_merged(self.ranges), _ddl(_KEYS)).write.mode("overwrite").parquet(run)
-        self.runs = [run]
+        """One run in place of all."""
+        self._merge(None)
 
 
 def _merged(ranges: int) -> Callable[[pa.Table], pa.Table]:

@@ -67,22 +67,36 @@ def test_word_hashes_depend_on_bytes_alone():
 
 def test_licenses(spark, odd, empty):
     filler = prose(3, 90)
-    texts = [t for t in licenses.TEMPLATES.values()]
-    docs = table(spark, [f"{filler} {t} {filler}" for t in texts] + [filler, "license license license", None, ""])
-    found = {(r["doc_id"], r["license"]): r["containment"] for r in licenses.scan(docs).collect()}
-    assert all(found[(k, name)] == 1.0 for k, name in enumerate(licenses.TEMPLATES))
-    assert not {k for k, _ in found if k >= len(texts)}
+    names = list(licenses.TEMPLATES)
+    docs = table(spark, [f"{filler} {licenses.TEMPLATES[k]} {filler}" for k in names] + [filler, "license license license", None, ""])
+    found = {}
+    for r in licenses.scan(docs).collect():
+        found.setdefault(r["doc_id"], {})[r["license"]] = r["containment"]
+    # each text reports its own license and no other one; a clause that several licenses share is a family of its own
+    for k, name in enumerate(names):
+        assert found[k][licenses.license_of(name)] == 1.0, name
+        assert set(found[k]) == {licenses.license_of(name)}, (name, found[k])
+    assert not {k for k in found if k >= len(names)}
     assert licenses.scan(odd).count() == 0 == licenses.scan(empty).count()
     assert licenses.scan(docs, {}).count() == 0
     own = licenses.scan(table(spark, ["x y quux corge grault garply z", "quux corge"]), {"mine": "Quux corge grault, garply!"}).collect()
     assert [(r["doc_id"], r["license"], r["containment"]) for r in own] == [(0, "mine", 1.0)]
+    with pytest.raises(ValueError):
+        licenses.scan(docs, {"short": "three words only"})
+
+
+def test_licenses_of_edited_and_joined_notices(spark):
+    gpl2, gpl3 = (licenses.TEMPLATES[f"GPL-{v}.0/header"] for v in (2, 3))
+    texts = [f"{prose(1, 40)} {gpl2} {gpl3} {prose(2, 40)}", gpl3.replace("redistribute", "share"), gpl3.replace("version 3", "version 9"), " ".join(licenses.TEMPLATES["MIT/text"].split()[:60])]
+    got = {}
+    for r in licenses.scan(table(spark, texts)).collect():
+        got.setdefault(r["doc_id"], set()).add(r["license"])
+    assert got == {0: {"GPL-2.0", "GPL-3.0"}, 1: {"GPL-3.0"}, 3: {"MIT"}}
 
 
 def test_license_anchors_cover_every_template():
     words = licenses.anchors(licenses.TEMPLATES)
-    for t in licenses.TEMPLATES.values():
-        w = licenses.template_words(t)
-        s = [w[i : i + 3] for i in range(len(w) - 2)]
+    for s in licenses.shingle_sets(licenses.TEMPLATES).values():
         assert sum(not set(g) & set(words) for g in s) < licenses.CONTAINMENT * len(s)
 
 
@@ -445,14 +459,22 @@ def test_substring_dedup(spark, odd, empty):
 def test_index_in_batches_equals_one_batch(spark, tmp_path):
     texts = passages(2)
     want, docs = removed(texts), table(spark, texts)
-    index = substring.FingerprintIndex(spark, str(tmp_path / "ix"), ranges=3)
     got = {}
-    for a, b in ((0, 20), (20, 21), (21, 45), (45, 99)):
+    for a, b in ((0, 20), (20, 21), (21, 45), (45, 50), (50, 99)):
+        index = substring.FingerprintIndex(spark, str(tmp_path / "ix"), ranges=3, fanout=2)  # another process goes on
         got |= {r["doc_id"]: r["kept"] for r in index.add(docs.where(f"doc_id >= {a} and doc_id < {b}"), chunk_bytes=4000).collect()}
-        if a == 20:
-            index.compact()
-            assert len(index.runs) == 1
+    assert [x for _, x in index.runs] == [2, 0]
+    index.compact()
+    assert len(index.runs) == 1
     assert [got[k] for k in range(len(texts))] == want
+    # a row of an id that history has is judged against smaller ids alone
+    assert {r["doc_id"]: r["kept"] for r in index.add(docs.where("doc_id < 20")).collect()} == dict(enumerate(want[:20]))
+    index.compact()
+    index.add(docs.where("doc_id < 5"))
+    index.compact()
+    assert len(index.runs) == 1 and index.history().count() == 3
+    with pytest.raises(ValueError):
+        substring.FingerprintIndex(spark, str(tmp_path / "ix"), ranges=5)
 
 
 # --- 7 pieces
@@ -473,6 +495,23 @@ def test_pieces_are_the_librarys(spark, odd, empty):
     assert all(r["round_trip"] for r in pieces.digests(odd, path).collect()) and pieces.digests(empty, path).count() == 0
 
 
+def test_pieces_of_long_texts_without_spaces():
+    import base64
+
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    sp, voc = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Vocabulary(path)
+    r = random.Random(3)
+    letters = "".join(r.choice("etaoinshrdlu") for _ in range(200_000))
+    kinds = [letters, base64.b64encode(r.randbytes(150_000)).decode(), "a" * 50_000, "ab" * 30_000, "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(50_000)), prose(3, 40_000).replace(" ", "")]
+    for t in kinds:
+        assert pieces.encode_texts([t], voc)[0].tolist() == sp.encode(t)
+    started = time.process_time()
+    million = letters * 5
+    assert len(pieces.encode_texts([million], voc)[0]) > 0 and time.process_time() - started < 20
+
+
 # --- 8 token counts
 
 
