@@ -13,7 +13,7 @@ from lattice.operators import library as L
 from lattice.operators import reports as R
 from lattice.schema import PRODUCT, PROFILE
 from lattice.session import local_session
-from lattice.sources import files, sessions, transcripts
+from lattice.sources import files, products, sessions, transcripts
 from lattice.tools import Engine, rows
 
 Run = Callable[[Engine, argparse.Namespace], object]
@@ -65,9 +65,31 @@ def _leads(e: Engine, a: argparse.Namespace) -> list[dict]:
     return rows(out)
 
 
+def _product_docs(e: Engine, a: argparse.Namespace):
+    return products.product_docs(files.json_lines(e.spark, a.path, PRODUCT), a.source, a.source, a.home)
+
+
+def _startup_docs(e: Engine, a: argparse.Namespace):
+    pages = products.startup_pages(files.json_lines(e.spark, a.path, "url STRING, html STRING"))
+    for c in ("description", "founder_x"):
+        pages = pages.withColumn(c, F.lit(None).cast("string"))
+    return products.startup_docs(pages, a.source, a.source, a.home).withColumn("popularity", F.lit(0).cast("bigint"))
+
+
+def _import_products(e: Engine, a: argparse.Namespace) -> dict:
+    merged = products.merge_dumps([files.json_lines(e.spark, p, PRODUCT) for p in a.paths])
+    merged.write.mode("overwrite").json(a.out)
+    return {"products": files.json_lines(e.spark, a.out, PRODUCT).count(), **rows(products.rejected(merged))[0]}
+
+
+def _compact(e: Engine, a: argparse.Namespace) -> list[dict]:
+    notes = e.store.read("notes").withColumn("created", F.try_to_timestamp("created", F.lit("yyyy-MM-dd")).cast("date")).withColumn("n_chars", F.length("content"))
+    return rows(R.compaction_candidates(notes, F.lit(a.today).cast("date"), days=a.days, chars=a.chars, every=a.all).select("file", "title", "status", "created").orderBy("file"))
+
+
 #: command: (what it does, arguments as (name, options), how)
 COMMANDS: dict[str, tuple[str, tuple, Run]] = {
-    "scan": ("source trees into the graph", (("roots", {"nargs": "+"}), ("--deep", {"action": "store_true"})), lambda e, a: e.scan_tree(_tree(e, a), a.deep)),
+    "scan": ("source trees and their commit logs into the graph", (("roots", {"nargs": "+"}), ("--deep", {"action": "store_true"})), lambda e, a: e.scan(_roots(a), a.deep)),
     "query": ("a read-only statement", (("text", {}),), lambda e, a: e.query(a.text)),
     "stats": ("counts by label and edge type", (), lambda e, a: e.stats()),
     "files": ("files of a project", (("project", {}),), lambda e, a: rows(L.files_by_project(e.graph(), a.project))),
@@ -100,6 +122,14 @@ COMMANDS: dict[str, tuple[str, tuple, Run]] = {
     "source-tags": ("tags and their use", (), lambda e, a: e.source_tags()),
     "source-related": ("videos with common tags", (("video", {}), ("-n", {"type": int, "default": 5})), lambda e, a: e.source_related(a.video, a.n)),
     "source-delete": ("a source's documents", (("source", {}),), lambda e, a: e.delete_source(a.source)),
+    "index-products": ("products from JSON lines as documents", (("path", {}), ("source", {}), ("--home", {"default": ""})), lambda e, a: e.index_source(_product_docs(e, a))),
+    "index-startups": ("stored startup pages (url and html, JSON lines) as documents", (("path", {}), ("source", {}), ("--home", {"default": ""})), lambda e, a: e.index_source(_startup_docs(e, a))),
+    "import-products": ("dumps of products, the newest first, merged into one file of JSON lines", (("paths", {"nargs": "+"}), ("--out", {"required": True})), _import_products),
+    "makers": ("profiles from JSON lines, linked to products", (("path", {}), ("source", {})), lambda e, a: e.index_makers(files.json_lines(e.spark, a.path, PROFILE), a.source)),
+    "maker-products": ("products of a profile", (("username", {}),), lambda e, a: e.maker_products(a.username)),
+    "hotfiles": ("most changed files", (("project", {}), ("-n", {"type": int, "default": 10})), lambda e, a: rows(L.hotfiles(e.graph(), a.project, a.n))),
+    "compact": ("notes that are old or long", (("today", {}), ("--days", {"type": int, "default": 90}), ("--chars", {"type": int, "default": 3000}), ("--all", {"action": "store_true"})), _compact),
+    "init": ("an empty store", (), lambda e, a: e.stats() if e.store.names() else (e.save(e.graph()), e.stats())[1]),
     "leads": ("people of products and their profiles", (("products", {}), ("profiles", {}), ("--csv", {}), ("--role", {}), ("--min-points", {"type": int, "default": 5}), ("--max-points", {"type": int, "default": 1000}), ("--min-upvotes", {"type": int, "default": 5}), ("--max-upvotes", {"type": int, "default": 700})), _leads),
 }
 

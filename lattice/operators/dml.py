@@ -135,13 +135,18 @@ class Store:
 _OWNED = {"File": "project", "Symbol": "project", "Project": "name"}
 
 
-def clear_project(nodes: dict[str, DataFrame], edges: dict[tuple[str, str, str], DataFrame], project: str) -> tuple[dict[str, DataFrame], dict[tuple[str, str, str], DataFrame]]:
-    """The graph without a project's nodes and the edges that start at them or end there, but for those of sessions."""
+def clear_projects(nodes: dict[str, DataFrame], edges: dict[tuple[str, str, str], DataFrame], projects: DataFrame) -> tuple[dict[str, DataFrame], dict[tuple[str, str, str], DataFrame]]:
+    """The graph without the nodes of ``projects`` (project) and the edges that start at them or end there, but for those of sessions.
+
+    One anti-join for each table, whatever the number of projects.
+    """
     kept, gone = dict(nodes), {}
+    names = projects.select(F.col("project").alias("__project"))
     for label, column in _OWNED.items():
         if label in nodes:
-            gone[label] = nodes[label].where(F.col(column) == project).select(F.col("id").alias("__gone"))
-            kept[label] = nodes[label].where(~F.col(column).eqNullSafe(F.lit(project)))
+            own = F.col(column) == F.col("__project")
+            gone[label] = nodes[label].join(names, own, "left_semi").select(F.col("id").alias("__gone"))
+            kept[label] = nodes[label].join(names, own, "left_anti")
     out = {}
     for (a, kind, b), e in edges.items():
         if a in gone:
@@ -150,3 +155,9 @@ def clear_project(nodes: dict[str, DataFrame], edges: dict[tuple[str, str, str],
             e = e.join(gone[b], F.col("dst") == F.col("__gone"), "left_anti")
         out[(a, kind, b)] = e
     return kept, out
+
+
+def clear_project(nodes: dict[str, DataFrame], edges: dict[tuple[str, str, str], DataFrame], project: str) -> tuple[dict[str, DataFrame], dict[tuple[str, str, str], DataFrame]]:
+    """``clear_projects`` for one project."""
+    spark = next(iter(nodes.values())).sparkSession
+    return clear_projects(nodes, edges, spark.createDataFrame([(project,)], "project string"))

@@ -83,11 +83,12 @@ def shared_endpoint_pairs(edges: DataFrame, left: str = "src", shared: str = "ds
 
 
 def incidence(edges: DataFrame, label: str | None = None) -> DataFrame:
-    """(label, id) of each end of each edge; a self-loop counts once."""
-    both = edges.select(F.col("src_label").alias("label"), F.col("src").alias("id"), "type").unionAll(
-        edges.where(~((F.col("src_label") == F.col("dst_label")) & (F.col("src") == F.col("dst")))).select(F.col("dst_label").alias("label"), F.col("dst").alias("id"), "type")
-    )
-    return both if label is None else both.where(F.col("label") == label)
+    """(label, id) of each end of each edge, in one pass over the edges; a self-loop counts once."""
+    src, dst = (F.struct(F.col(f"{end}_label").alias("label"), F.col(end).alias("id")) for end in ("src", "dst"))
+    ends = F.when(src == dst, F.array(src)).otherwise(F.array(src, dst))
+    if label is not None:
+        ends = F.filter(ends, lambda e: e["label"] == label)
+    return edges.select(F.explode(ends).alias("e"), "type").select("e.label", "e.id", "type")
 
 
 def degree(edges: DataFrame, label: str | None = None) -> DataFrame:
@@ -118,6 +119,27 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, *, checkpoint: bool =
     return seen if seen is not None else edges.sparkSession.createDataFrame([], "id string, hops bigint")
 
 
+def reach_shared(links: DataFrame, item: str, hub: str, seeds: DataFrame, depth: int) -> DataFrame:
+    """id and hops as ``reach`` gives them over items that share a hub, without the pairs of items of a hub.
+
+    Each hop goes from the frontier to its hubs and on to their items, both distinct. An item is no
+    neighbour of itself: a hub with one item of the frontier leads to all its others.
+    """
+    ensure_checkpoints(links.sparkSession)
+    pairs = links.select(F.col(item).alias("i"), F.col(hub).alias("h")).where("i IS NOT NULL AND h IS NOT NULL").distinct()
+    frontier = seeds.select(F.col(seeds.columns[0]).alias("i")).distinct()
+    seen: DataFrame | None = None
+    for k in range(1, depth + 1):
+        hubs = pairs.join(frontier, "i").groupBy("h").agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
+        step = pairs.join(hubs, "h").where("lo <> hi OR i <> lo").select(F.col("i").alias("id")).distinct()
+        if seen is not None:
+            step = step.join(seen.select("id"), "id", "left_anti")
+        step = step.withColumn("hops", F.lit(k).cast("bigint")).checkpoint()
+        seen = step if seen is None else seen.unionByName(step)
+        frontier = step.select(F.col("id").alias("i"))
+    return seen if seen is not None else links.sparkSession.createDataFrame([], "id string, hops bigint")
+
+
 def neighbours(results: DataFrame, adjacency: DataFrame, top: int = 3) -> DataFrame:
     """One-hop neighbours of the ``top`` best of ``results`` (id, rank) over a symmetric adjacency, less the results.
 

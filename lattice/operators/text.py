@@ -1,7 +1,8 @@
 """Full-text scoring, hybrid search and chunking.
 
-The inverted index is a frame (term, doc, tf); a query's terms select from it, so that scoring
-reads the postings of those terms alone.
+The inverted index is a frame (bucket, term, doc, tf), stored by bucket of the term's hash; a query's
+terms select from it, so that scoring reads the buckets of those terms alone. Without an index
+the texts are read.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from lattice.operators.vectors import fuse, knn, ranked
 _TERM = "[^a-z0-9]+"
 #: A chunk's least and greatest length in characters.
 CHUNK_LEAST, CHUNK_MOST = 200, 1500
+#: Folders of a stored index.
+BUCKETS = 64
 #: Characters that make the full-text index drop a query word.
 _OPERATORS = r"[(){}\[\]+\-~*\"\\]"
 
@@ -28,9 +31,21 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _TERM), lambda t: t != "")
 
 
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
 def inverted_index(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """term, key, tf."""
-    return docs.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
+    """bucket, term, key, tf; to be stored by bucket."""
+    counted = docs.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
+    return counted.select(bucket_of(F.col("term")).alias("bucket"), "term", key, "tf")
+
+
+def postings(index: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """term, key and tf of some terms; of a stored index only their buckets are read."""
+    spark = index.sparkSession
+    buckets = sorted({r[0] for r in spark.createDataFrame([(t,) for t in wanted], "t string").select(bucket_of(F.col("t"))).collect()})
+    return index.where(F.col("bucket").isin(buckets) & F.col("term").isin(list(wanted))).drop("bucket")
 
 
 def query_terms(query: str) -> list[str]:
@@ -39,13 +54,13 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(t for w in words for t in re.split(_TERM, w.lower()) if t))
 
 
-def tfidf(docs: DataFrame, query: str, n: int, *, key: str = "id", text: str = "text", where: Column | None = None) -> DataFrame:
+def tfidf(docs: DataFrame, query: str, n: int, *, key: str = "id", text: str = "text", where: Column | None = None, index: DataFrame | None = None) -> DataFrame:
     """The n documents of greatest sum of tf * ln((N + 1) / (df + 1)) over the query's terms; filtered before the limit."""
     wanted = query_terms(query)
     source = docs if where is None else docs.where(where)
     if not wanted:
         return source.select(key).limit(0).withColumn("score", F.lit(0.0))
-    index = docs.select(key, F.explode(terms(F.col(text))).alias("term")).where(F.col("term").isin(wanted)).groupBy("term", key).agg(F.count("*").alias("tf"))
+    index = docs.select(key, F.explode(terms(F.col(text))).alias("term")).where(F.col("term").isin(wanted)).groupBy("term", key).agg(F.count("*").alias("tf")) if index is None else postings(index, wanted)
     total = docs.agg(F.count("*").alias("__docs"))
     frequency = index.groupBy("term").agg(F.count("*").alias("df"))
     idf = frequency.crossJoin(total).select("term", F.log((F.col("__docs") + 1) / (F.col("df") + 1)).alias("idf"))
@@ -55,10 +70,10 @@ def tfidf(docs: DataFrame, query: str, n: int, *, key: str = "id", text: str = "
     return scored.orderBy(F.desc("score"), key).limit(n)
 
 
-def hybrid(docs: DataFrame, query: str, query_vector: Sequence[float], n: int, *, key: str = "id", text: str = "text", embedding: str = "embedding", where: Column | None = None) -> DataFrame:
+def hybrid(docs: DataFrame, query: str, query_vector: Sequence[float], n: int, *, key: str = "id", text: str = "text", embedding: str = "embedding", where: Column | None = None, index: DataFrame | None = None) -> DataFrame:
     """Vector and full-text top 3 n, fused; the vector list alone where no word matches. id, rank, score."""
     near = knn(docs.select(key, embedding) if where is None else docs.where(where).select(key, embedding), query_vector, 3 * n, embedding=embedding, key=key)
-    found = tfidf(docs, query, 3 * n, key=key, text=text, where=where)
+    found = tfidf(docs, query, 3 * n, key=key, text=text, where=where, index=index)
     v = ranked(near, [F.desc("score"), F.col(key)]).select(F.lit(0).alias("list_id"), key, "rank")
     t = ranked(found, [F.desc("score"), F.col(key)]).select(F.lit(1).alias("list_id"), key, "rank")
     both = fuse(v.unionByName(t), key=key).limit(n)

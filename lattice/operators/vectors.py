@@ -70,7 +70,7 @@ def rerank(df: DataFrame, query: Sequence[float] | Column, n: int, *, popularity
 
 
 def ranked(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), name: str = "rank") -> DataFrame:
-    """Position from 1 within ``by``."""
+    """Position from 1 within ``by``. Without ``by`` all rows are sorted in one task: only for frames that a limit has bounded."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
@@ -100,6 +100,12 @@ def merge_kinds(kinds: Sequence[DataFrame], n: int, score: str = "relevance", ke
     return out.orderBy(F.desc(score), "__kind", key).limit(n).drop("__kind")
 
 
+def merge_kinds_by(rows: DataFrame, kind: str, n: int, score: str = "relevance", key: str = "id") -> DataFrame:
+    """The same for rows of one frame with a column for the kind: one scan, each kind's top n, then that of all."""
+    top = top_per(rows, [kind], [F.desc(score), F.col(key)], n)
+    return top.orderBy(F.desc(score), kind, key).limit(n)
+
+
 def tags(docs: DataFrame, topics: DataFrame, *, key: str = "id", topic: str = "topic", embedding: str = "embedding", least: float = TAG_LEAST) -> DataFrame:
     """Zero-shot tags: (id, topic, confidence) of every topic whose vector is close enough.
 

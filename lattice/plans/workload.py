@@ -280,18 +280,14 @@ def fetch_in_rank_order(spark: SparkSession, d: str) -> DataFrame:
 r AS (SELECT t AS id, 1::BIGINT AS hops FROM e WHERE s = 1 UNION SELECT t, hops + 1 FROM r JOIN e ON s = id WHERE hops < 2) SELECT id, min(hops) AS hops FROM r GROUP BY 1""")
 def bounded_paths_1_2(spark: SparkSession, d: str) -> DataFrame:
     """Parts that share an order with part 1, or with one that does: distinct ends and least hops. The third hop is in ``bounded_paths_1_3``."""
-    line = load(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    e = line.select("l_orderkey", F.col("l_partkey").alias("src")).join(line.select("l_orderkey", F.col("l_partkey").alias("dst")), "l_orderkey").where("src <> dst")
-    return G.reach(e.select("src", "dst"), spark.createDataFrame([(1,)], "at bigint"), 2)
+    return G.reach_shared(load(spark, d, "lineitem"), "l_partkey", "l_orderkey", spark.createDataFrame([(1,)], "at bigint"), 2)
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT a.l_partkey AS s, b.l_partkey AS t FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey),
 r AS (SELECT t AS id, 1::BIGINT AS hops FROM e WHERE s = 1 UNION SELECT t, hops + 1 FROM r JOIN e ON s = id WHERE hops < 3) SELECT id, min(hops) AS hops FROM r GROUP BY 1""")
 def bounded_paths_1_3(spark: SparkSession, d: str) -> DataFrame:
     """Parts that up to three shared orders lead to from part 1, as surveyed: distinct ends and least hops."""
-    line = load(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    e = line.select("l_orderkey", F.col("l_partkey").alias("src")).join(line.select("l_orderkey", F.col("l_partkey").alias("dst")), "l_orderkey").where("src <> dst")
-    return G.reach(e.select("src", "dst"), spark.createDataFrame([(1,)], "at bigint"), 3)
+    return G.reach_shared(load(spark, d, "lineitem"), "l_partkey", "l_orderkey", spark.createDataFrame([(1,)], "at bigint"), 3)
 
 
 @query("""SELECT event_id, user_id, (SELECT max(h) FROM (SELECT user_id AS u, event_id AS h, ts AS t FROM events WHERE event_type = 'signup') s WHERE s.u = e.user_id AND s.t = (SELECT max(ts) FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'signup' AND x.ts <= e.ts)) AS chapter FROM events e WHERE event_type <> 'signup'""")
@@ -331,9 +327,9 @@ def tag_usage(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("tag").agg(F.count("*").alias("n"), (money("p_retailprice") / F.count("*")).alias("avg_confidence"))
 
 
-@query("SELECT user_id, arg_min(event_type, ts) AS first_type, arg_max(event_id, ts) AS last_event, count(*) FILTER (event_type = 'click') AS clicks, count(*) AS n FROM events GROUP BY 1")
+@query("SELECT user_id, arg_min(event_type, (ts, event_id)) AS first_type, arg_max(event_id, (ts, event_id)) AS last_event, count(*) FILTER (event_type = 'click') AS clicks, count(*) AS n FROM events GROUP BY 1")
 def first_last_per_session(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "events").groupBy("user_id").agg(F.min_by("event_type", "ts").alias("first_type"), F.max_by("event_id", "ts").alias("last_event"), F.count_if(F.col("event_type") == "click").alias("clicks"), F.count("*").alias("n"))
+    return load(spark, d, "events").groupBy("user_id").agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("first_type"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event"), F.count_if(F.col("event_type") == "click").alias("clicks"), F.count("*").alias("n"))
 
 
 _PRIORITY = {"view": 1, "click": 2, "purchase": 3}
@@ -366,15 +362,15 @@ def tag_explode_distinct(spark: SparkSession, d: str) -> DataFrame:
     return t.agg(F.countDistinct(F.trim("t")).alias("unique_tags"), F.count("*").alias("tags"))
 
 
-@query("SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS header FROM events")
+@query("SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS header FROM events")
 def carry_forward(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     return load(spark, d, "events").select("event_id", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w).alias("header"))
 
 
-@query("SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) WHERE p IS NULL OR p <> event_type")
+@query("SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p IS NULL OR p <> event_type")
 def dedup_consecutive(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = load(spark, d, "events").withColumn("p", F.lag("event_type").over(w))
     return e.where(F.col("p").isNull() | (F.col("p") != F.col("event_type"))).select("event_id")
 
@@ -437,12 +433,12 @@ def rerank_popularity(spark: SparkSession, d: str) -> DataFrame:
     return V.rerank(_with_query(spark, d), F.col("__q"), 10, popularity="vec_id", key="vec_id").select("vec_id", _floor6(F.col("relevance")).alias("relevance"))
 
 
-@query(f"""WITH c AS (SELECT vec_id, label, {_COS} * CASE WHEN label = 0 THEN 0.85 ELSE 1 END AS r FROM embeddings WHERE label < 3), t AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY r DESC, vec_id) AS k FROM c)
+@query(f"""WITH c AS (SELECT vec_id, label, {_COS} * CASE WHEN label = 0 THEN 0.85 ELSE 1 END AS r FROM embeddings), t AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY r DESC, vec_id) AS k FROM c)
 SELECT vec_id, label AS kind, floor(r * 1e6 + 0.5) / 1e6 AS relevance FROM t WHERE k <= 10 ORDER BY r DESC, label, vec_id LIMIT 10""")
 def multi_kind_merge(spark: SparkSession, d: str) -> DataFrame:
     e = _with_query(spark, d).withColumn("relevance", V.cosine(F.col("embedding"), F.col("__q")) * F.when(F.col("label") == 0, 0.85).otherwise(1.0))
-    kinds = [e.where(F.col("label") == k).select("vec_id", F.col("label").alias("kind"), "relevance") for k in range(3)]
-    return V.merge_kinds(kinds, 10, key="vec_id").select("vec_id", "kind", _floor6(F.col("relevance")).alias("relevance"))
+    e = e.select("vec_id", F.col("label").alias("kind"), "relevance")
+    return V.merge_kinds_by(e, "kind", 10, key="vec_id").select("vec_id", "kind", _floor6(F.col("relevance")).alias("relevance"))
 
 
 @query(f"SELECT vec_id, label, floor(s * 1e6 + 0.5) / 1e6 AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS k FROM (SELECT vec_id, label, {_COS} AS s FROM embeddings)) WHERE k <= 3")
@@ -546,12 +542,12 @@ def compaction_candidates(spark: SparkSession, d: str) -> DataFrame:
     return candidates(docs, F.lit("2024-12-01").cast("date"), days=90, chars=3000, done="src1").select("doc_id")
 
 
-@query("""WITH g AS (SELECT user_id, ts, event_id, event_type, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, arg_max(event_type, ts) AS event_type, arg_max(event_id, ts) AS last_event, count(*) AS n FROM s GROUP BY user_id, k""")
+@query("""WITH g AS (SELECT user_id, ts, event_id, event_type, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(event_id, (ts, event_id)) AS last_event, count(*) AS n FROM s GROUP BY user_id, k""")
 def debounce_batch(spark: SparkSession, d: str) -> DataFrame:
     from lattice.streaming.debounce import debounce
 
-    return debounce(load(spark, d, "events"), ["user_id"], "ts", {"event_type": "event_type", "last_event": "event_id"}, "6 hours").select("user_id", "event_type", "last_event", "n")
+    return debounce(load(spark, d, "events"), ["user_id"], "ts", {"event_type": "event_type", "last_event": "event_id"}, "6 hours", ties=["event_id"]).select("user_id", "event_type", "last_event", "n")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name || '*' ELSE c_name END AS c_name FROM customer UNION ALL SELECT -c_custkey, c_name FROM customer WHERE c_custkey % 10 = 0")

@@ -17,7 +17,7 @@ def local_session(name: str = "lattice", cores: int | str = "*", partitions: int
     b = SparkSession.builder.master(f"local[{cores}]").appName(name)
     base = {
         "spark.sql.shuffle.partitions": str(partitions), "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true",
-        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.driver.memory": "12g",
+        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.driver.memory": "12g", "spark.scheduler.mode": "FAIR",
     }
     for k, v in (base | conf).items():
         b = b.config(k, v)
@@ -41,7 +41,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder the session names; to a local one only where it names none."""
+    """Checkpoints go to the folder the session names; where it names none to a local one, but only in a local session."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lattice-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lattice-"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import shutil
 import subprocess
 from collections.abc import Iterator
 
@@ -53,6 +54,8 @@ class _GitReader(DataSourceReader):
         return [_Repository(k[len("repo.") :], v) for k, v in sorted(self.options.items()) if k.startswith("repo.")]
 
     def read(self, partition: _Repository) -> Iterator[tuple[str, int, str]]:
+        if not shutil.which("git"):
+            return
         command = ["git", "log", f"-{self.options.get('commits', COMMITS)}", "--numstat", f"--format={FORMAT}"]
         done = subprocess.run(command, cwd=partition.path, capture_output=True, text=True, timeout=SECONDS, check=False)
         for k, line in enumerate(done.stdout.splitlines() if done.returncode == 0 else []):

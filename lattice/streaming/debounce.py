@@ -26,15 +26,17 @@ def relevant(path: Column, endings: Sequence[str] = WATCHED, ignored: Sequence[s
     return end & ~F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, ignored)))
 
 
-def debounce(events: DataFrame, key: Sequence[str], ts: str, latest: Mapping[str, str], gap: str = DEFAULT_GAP, watermark: str | None = None) -> DataFrame:
+def debounce(events: DataFrame, key: Sequence[str], ts: str, latest: Mapping[str, str], gap: str = DEFAULT_GAP, watermark: str | None = None, ties: Sequence[str] = ()) -> DataFrame:
     """key, the latest value of each of ``latest`` (new name: column), n and fired_at, a row for each burst.
 
+    Of events of one time the last by ``ties`` counts, and after those by the value itself.
+
     The same plan for a table and a stream; a stream needs ``watermark`` and emits a burst when it
     has passed (append), or all bursts so far (complete).
     """
     source = events.withWatermark(ts, watermark) if watermark else events
     grouped = source.groupBy(*key, F.session_window(ts, gap).alias("__w"))
-    out = grouped.agg(*[F.max_by(c, ts).alias(n) for n, c in latest.items()], F.count("*").alias("n"))
+    out = grouped.agg(*[F.max_by(c, F.struct(ts, *ties, c)).alias(n) for n, c in latest.items()], F.count("*").alias("n"))
     return out.withColumn("fired_at", F.col("__w.end")).drop("__w")
 
 

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from lattice import cypher, schema
 from lattice.functions import strings as S
 from lattice.operators import library as L
+from lattice.operators import profiles as M
 from lattice.operators import reports as R
 from lattice.operators import text as X
 from lattice.operators import vectors as V
-from lattice.operators.dml import Store, clear_project, upsert_counts
+from lattice.operators.dml import Store, clear_projects, upsert_counts
 from lattice.operators.graph import Graph, neighbours
 from lattice.operators.joins import missing, related_by_tag, with_siblings
 from lattice.sources import code, files, gitlog, manifests, notes
@@ -66,14 +67,11 @@ class Engine:
     def scan(self, roots: Mapping[str, str], deep: bool = False, log: DataFrame | None = None) -> list[dict]:
         """Scans source trees into the graph, all projects in one plan; returns the graph's statistics."""
         tree = files.read_tree(self.spark, roots)
-        return self.scan_tree(tree, deep, log)
+        return self.scan_tree(tree, deep, gitlog.read_log(self.spark, dict(roots)) if log is None else log)
 
     def scan_tree(self, tree: DataFrame, deep: bool = False, log: DataFrame | None = None) -> list[dict]:
         g = self.graph()
-        names = [r["project"] for r in tree.select("project").distinct().collect()]
-        nodes, edges = g.nodes, g.edges
-        for name in names:
-            nodes, edges = clear_project(nodes, edges, name)
+        nodes, edges = clear_projects(g.nodes, g.edges, tree.select("project").distinct())
         f = files.scan_files(tree)
         source = tree.withColumn("lang", files.language(F.col("path"))).where(F.col("lang").isNotNull() & files.scannable(F.col("path")))
         records = code.parse(source, deep)
@@ -139,13 +137,16 @@ class Engine:
         from lattice.streaming.incremental import refresh
 
         docs = X.embed(notes.scan_notes(tree, today), "text")
-        return {r["status"]: r["n"] for r in rows(refresh(self.store, "notes", docs, force=force))}
+        counts = {r["status"]: r["n"] for r in rows(refresh(self.store, "notes", docs, force=force))}
+        if set(counts) - {"unchanged"} or not self.store.version("notes_terms"):
+            self.store.write("notes_terms", X.inverted_index(self.store.read("notes"), "doc_id", "text"), ["bucket"])
+        return counts
 
     def notes_search(self, query: str, n: int = 5, doc_type: str | None = None, adjacency: DataFrame | None = None) -> list[dict]:
         """Hybrid search with synthetic distances by rank; neighbours of the best results follow with relevance 0."""
         docs = self.store.read("notes")
         where = None if doc_type is None else F.col("doc_type") == doc_type
-        hits = X.hybrid(docs.withColumnRenamed("text", "__text"), query, self.embedder(query), n, key="doc_id", text="__text", where=where).select("doc_id", "rank")
+        hits = X.hybrid(docs.withColumnRenamed("text", "__text"), query, self.embedder(query), n, key="doc_id", text="__text", where=where, index=self.store.read("notes_terms") if self.store.version("notes_terms") else None).select("doc_id", "rank")
         shown = ["file", "title", F.col("doc_type").alias("type"), "tags"]
         own = hits.join(docs, "doc_id").select("rank", *shown, F.substring("content", 1, SNIPPET).alias("snippet"), (1 - (F.col("rank") - 1) * 0.1).alias("relevance"))
         out = [{k: v for k, v in r.items() if k != "rank"} for r in rows(own.orderBy("rank"))]
@@ -193,7 +194,7 @@ class Engine:
         if chunk_type is not None:
             where = where & (F.col("chunk_type") == chunk_type)
         hits = V.knn(c, self.embedder(query), n, where=where)
-        out = hits.select("id", "file", "language", "chunk_type", "chunk_index", F.round("score", 4).alias("relevance"), F.substring("text", 1, CODE_SNIPPET).alias("snippet"), "project")
+        out = hits.select("id", "file", "language", "chunk_type", "chunk_index", F.bround("score", 4).alias("relevance"), F.substring("text", 1, CODE_SNIPPET).alias("snippet"), "project")
         if siblings:
             other = c.select(F.col("project").alias("__p"), F.col("file").alias("__f"), F.col("chunk_index").alias("__i"))
             near = out.join(other, (F.col("project") == F.col("__p")) & (F.col("file") == F.col("__f")) & (F.col("chunk_index") != F.col("__i")), "left")
@@ -218,7 +219,7 @@ class Engine:
         s = self.store.read("sessions")
         where = None if project is None else F.contains(F.lower("project_name"), F.lit(project.lower()))
         hits = V.knn(s, self.embedder(query), n, key="session_id", where=where)
-        return rows(hits.select("session_id", "project_name", "started_at", F.round("score", 4).alias("relevance"), F.substring("summary", 1, SNIPPET).alias("summary")))
+        return rows(hits.select("session_id", "project_name", "started_at", F.bround("score", 4).alias("relevance"), F.substring("summary", 1, SNIPPET).alias("summary")))
 
     # --- sources
     def index_source(self, docs: DataFrame) -> dict:
@@ -242,8 +243,22 @@ class Engine:
             found = V.tags(v, t, key="video_id").select("video_id", F.col("topic").alias("tag"), F.col("confidence").alias("weight"))
             self.store.merge("video_tags", found, ["video_id", "tag"])
 
+    def index_makers(self, profiles: DataFrame, source: str, product_type: str | None = None) -> dict:
+        """Stores profiles of a source in place of their old rows and links them to that source's products; counts of created and matched profiles."""
+        new = X.embed(M.stored_profiles(profiles), "text").drop("text").withColumn("source_name", F.lit(source))
+        counts = rows(self.store.merge("makers", new, ["username"]))[0]
+        if self.store.version("documents"):
+            links = M.product_links(self.store.read("makers").where(F.col("source_name") == source), self.store.read("documents").where(F.col("source_name") == source), product_type or f"{source}-product")
+            self.store.merge("maker_products", links, ["src", "dst"])
+        return counts
+
+    def maker_products(self, username: str) -> list[dict]:
+        """The documents that a profile is linked to."""
+        links = self.store.read("maker_products", "src STRING, dst STRING").where(F.col("src") == username)
+        return rows(links.join(self.store.read("documents"), F.col("dst") == F.col("doc_id")).select("doc_id", "title", "url").orderBy("doc_id"))
+
     def source_search(self, query: str, n: int = 5, source: str | None = None) -> list[dict]:
-        """Documents by cosine and popularity, and chunks with their neighbours' text, in one ranking."""
+        """Documents by cosine and popularity, chunks with their neighbours' text, and profiles, in one ranking; ``source`` is applied before it."""
         q = self.embedder(query)
         kinds = []
         if self.store.version("documents"):
@@ -252,24 +267,28 @@ class Engine:
             top = V.rerank(d, q, n, key="doc_id")
             kinds.append(top.select(F.col("doc_id").alias("id"), "source_type", "source_name", "title", "url", "content", "created", "tags", "relevance"))
         if self.store.version("video_chunks"):
-            c = with_siblings(self.store.read("video_chunks"), ["video_id"], "chunk_index", ["text"])
-            c = c.withColumn("id", F.concat_ws(":", "video_id", F.col("chunk_index").cast("string")))
-            top = V.knn(c, q, n).withColumnRenamed("score", "relevance")
-            v = self.store.read("videos").select("video_id", "title", "url", "source_name", "created")
-            own = top.join(v, "video_id")
-            own = own if source is None else own.where(F.col("source_name") == source)
+            c, v = self.store.read("video_chunks"), self.store.read("videos").select("video_id", "title", "url", "source_name", "created")
+            if source is not None:
+                v = v.where(F.col("source_name") == source)
+                c = c.join(v.select("video_id"), "video_id", "left_semi")
+            top = V.knn(c.withColumn("id", F.concat_ws(":", "video_id", F.col("chunk_index").cast("string"))), q, n).withColumnRenamed("score", "relevance")
+            # neighbours are looked up for the hits' videos alone
+            near = with_siblings(c.join(top.select("video_id").distinct(), "video_id", "left_semi"), ["video_id"], "chunk_index", ["text"]).select("video_id", "chunk_index", "prev_text", "next_text")
+            own = top.join(near, ["video_id", "chunk_index"]).join(v, "video_id")
             kinds.append(own.select("id", F.concat(F.lit("youtube-"), "chunk_type").alias("source_type"), "source_name", "title", "url", F.col("text").alias("content"), "created", "chapter", "start_time", "start_seconds", "relevance", S.sibling_context(F.col("prev_text"), F.col("text"), F.col("next_text"), CONTEXT).alias("context")))
+        if self.store.version("makers"):
+            kinds.append(M.profile_search(self.store.read("makers"), q, n, where=None if source is None else F.col("source_name") == source))
         return rows(V.merge_kinds(kinds, n)) if kinds else []
 
     def source_tags(self) -> list[dict]:
         t = self.store.read("video_tags")
-        return rows(t.groupBy(F.col("tag").alias("name")).agg(F.count("*").alias("count"), F.round(F.avg("weight"), 3).alias("avg_confidence")).orderBy(F.desc("count"), "name"))
+        return rows(t.groupBy(F.col("tag").alias("name")).agg(F.count("*").alias("count"), F.bround(F.avg("weight"), 3).alias("avg_confidence")).orderBy(F.desc("count"), "name"))
 
     def source_related(self, video: str, n: int = 5) -> list[dict]:
         found = self.spark.createDataFrame([(video,)], "u STRING").select(F.coalesce(S.video_id(F.col("u")), "u")).first()[0]
         r = related_by_tag(self.store.read("video_tags"), "video_id", "tag", "weight", found)
         out = r.join(self.store.read("videos").select(F.col("video_id").alias("b"), "title", "url"), "b")
-        return rows(out.select(F.col("b").alias("video_id"), "title", "url", "shared_tags", "overlap", F.round("relevance", 3).alias("relevance")).orderBy(F.desc("relevance"), "video_id").limit(n))
+        return rows(out.select(F.col("b").alias("video_id"), "title", "url", "shared_tags", "overlap", F.bround("relevance", 3).alias("relevance")).orderBy(F.desc("relevance"), "video_id").limit(n))
 
     def videos_by_tag(self, tag: str, n: int = 20) -> list[dict]:
         t = self.store.read("video_tags").where(F.col("tag") == tag)
@@ -280,15 +299,30 @@ class Engine:
         return rows(v.orderBy(F.desc("created"), "video_id").limit(n).select("video_id", "title", "url", "created"))
 
     def source_list(self) -> list[dict]:
-        names = {"SourceDoc": "documents", "Video": "videos"}
+        """Sources with counts of documents, videos, chunks and profiles, the total of what is searched for, and the store's path."""
+        names = {"SourceDoc": "documents", "Video": "videos", "Maker": "makers"}
         have = {k: self.store.read(v).withColumn("source", F.col("source_name")) for k, v in names.items() if self.store.version(v)}
-        return rows(R.counts_by_namespace(have)) if have else []
+        if "Video" in have and self.store.version("video_chunks"):
+            have["VideoChunk"] = self.store.read("video_chunks").join(have["Video"].select("video_id", "source"), "video_id")
+        return rows(R.counts_by_namespace(have).withColumn("path", F.lit(self.root))) if have else []
 
     def delete_source(self, source: str) -> bool:
-        d = self.store.read("documents")
-        found = not d.where(F.col("source_name") == source).isEmpty()
-        if found:
-            self.store.write("documents", d.where(F.col("source_name") != source))
+        """Removes all that belongs to a source: documents, profiles and their links, videos with their chunks and tags."""
+        own, found = F.col("source_name") == source, False
+        ids = {"documents": ("doc_id", (("maker_products", "dst"),)), "makers": ("username", (("maker_products", "src"),)), "videos": ("video_id", (("video_chunks", "video_id"), ("video_tags", "video_id")))}
+        for table, (key, parts) in ids.items():
+            if not self.store.version(table):
+                continue
+            t = self.store.read(table)
+            gone = t.where(own).select(F.col(key).alias("__gone"))
+            if gone.isEmpty():
+                continue
+            found = True
+            for part, column in parts:
+                if self.store.version(part):
+                    p = self.store.read(part)
+                    self.store.write(part, p.join(gone, F.col(column) == F.col("__gone"), "left_anti"))
+            self.store.write(table, t.where(~own | F.col("source_name").isNull()))
         return found
 
     # --- pages
