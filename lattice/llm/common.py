@@ -28,9 +28,11 @@ def prepare(spark: SparkSession, batch_bytes: str = "8m") -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """A fresh folder below the shared ``spark.checkpoint.dir``; where it is unset a local one, but only in a local session."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         root = tempfile.mkdtemp(prefix="lattice-")
