@@ -23,6 +23,7 @@ never remove each other's words. Documents of fewer words than a window lose non
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 import uuid
@@ -74,10 +75,19 @@ def _identified(t: pa.Table) -> pa.Table:
     return t.filter(pa.compute.is_valid(t.column("doc_id"))) if t.column("doc_id").null_count else t
 
 
+@functools.lru_cache(maxsize=4)
+def _edges(ranges: int, bits: int) -> np.ndarray:
+    return np.array([(k << bits) // ranges for k in range(ranges)] or [0], dtype=np.uint64)
+
+
 def _cuts(keys: np.ndarray, ranges: int, bits: int) -> np.ndarray:
     """Where each of the equal key ranges begins among sorted keys."""
-    edges = np.array([(k << bits) // ranges for k in range(ranges)] or [0], dtype=np.uint64)
-    return np.append(np.searchsorted(keys, edges), len(keys))
+    return np.append(np.searchsorted(keys, _edges(ranges, bits)), len(keys))
+
+
+def _filled(cut: np.ndarray) -> list[int]:
+    """The ranges that have keys: a chunk makes no more rows than it has keys, however many ranges there are."""
+    return np.flatnonzero(np.diff(cut)).tolist()
 
 
 def _runs_of_fingerprints(window: int, ranges: int) -> Callable[[pa.Table], pa.Table]:
@@ -86,7 +96,7 @@ def _runs_of_fingerprints(window: int, ranges: int) -> Callable[[pa.Table], pa.T
         h, _, _ = _windows(_identified(t), window, 0)
         keys = np.unique(h >> _SHIFT)
         cut = _cuts(keys, ranges, 48)
-        rows = [{"range": k, "chunk": chunk, "keys": pack(keys[cut[k] : cut[k + 1]])} for k in range(ranges) if cut[k] < cut[k + 1]]
+        rows = [{"range": k, "chunk": chunk, "keys": pack(keys[cut[k] : cut[k + 1]])} for k in _filled(cut)]
         return pa.Table.from_pylist(rows, _FINGERPRINTS)
 
     return run
@@ -133,11 +143,10 @@ def _key_rows(keys: np.ndarray, owner: np.ndarray, ids: np.ndarray, ranges: int,
     """Sorted unique keys with the position of their first document in ``ids``, cut into ranges."""
     cut = _cuts(keys, ranges, 64)
     rows = []
-    for k in range(ranges):
+    for k in _filled(cut):
         a, b = cut[k], cut[k + 1]
-        if a < b:
-            used, at = np.unique(owner[a:b], return_inverse=True)
-            rows.append({"range": k, "chunk": chunk, "keys": pack(keys[a:b]), "owner": pack_raw(at), "ids": pack(_signed(ids[used]))})
+        used, at = np.unique(owner[a:b], return_inverse=True)
+        rows.append({"range": k, "chunk": chunk, "keys": pack(keys[a:b]), "owner": pack_raw(at), "ids": pack(_signed(ids[used]))})
     return rows
 
 
