@@ -13,7 +13,7 @@ from lattice.operators import library as L
 from lattice.operators import reports as R
 from lattice.schema import PRODUCT, PROFILE
 from lattice.session import local_session
-from lattice.sources import files, products, sessions, transcripts
+from lattice.sources import files, pages, products, sessions, transcripts
 from lattice.tools import Engine, rows
 
 Run = Callable[[Engine, argparse.Namespace], object]
@@ -70,10 +70,10 @@ def _product_docs(e: Engine, a: argparse.Namespace):
 
 
 def _startup_docs(e: Engine, a: argparse.Namespace):
-    pages = products.startup_pages(files.json_lines(e.spark, a.path, "url STRING, html STRING"))
+    found = products.startup_pages(files.json_lines(e.spark, a.path, "url STRING, html STRING"))
     for c in ("description", "founder_x"):
-        pages = pages.withColumn(c, F.lit(None).cast("string"))
-    return products.startup_docs(pages, a.source, a.source, a.home).withColumn("popularity", F.lit(0).cast("bigint"))
+        found = found.withColumn(c, F.lit(None).cast("string"))
+    return products.startup_docs(found, a.source, a.source, a.home).withColumn("popularity", F.lit(0).cast("bigint"))
 
 
 def _import_products(e: Engine, a: argparse.Namespace) -> dict:
@@ -130,6 +130,7 @@ COMMANDS: dict[str, tuple[str, tuple, Run]] = {
     "hotfiles": ("most changed files", (("project", {}), ("-n", {"type": int, "default": 10})), lambda e, a: rows(L.hotfiles(e.graph(), a.project, a.n))),
     "compact": ("notes that are old or long", (("today", {}), ("--days", {"type": int, "default": 90}), ("--chars", {"type": int, "default": 3000}), ("--all", {"action": "store_true"})), _compact),
     "init": ("an empty store", (), lambda e, a: e.stats() if e.store.names() else (e.save(e.graph()), e.stats())[1]),
+    "stacks": ("stack templates of a folder", (("folder", {}),), lambda e, a: rows(pages.stack_templates(e.spark, a.folder))),
     "leads": ("people of products and their profiles", (("products", {}), ("profiles", {}), ("--csv", {}), ("--role", {}), ("--min-points", {"type": int, "default": 5}), ("--max-points", {"type": int, "default": 1000}), ("--min-upvotes", {"type": int, "default": 5}), ("--max-upvotes", {"type": int, "default": 700})), _leads),
 }
 

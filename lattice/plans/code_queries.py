@@ -625,6 +625,40 @@ def product_rejected(spark: SparkSession, d: str) -> DataFrame:
     return rejected(load(spark, d, "part").select(F.when(k % 7 != 0, text(k)).alias("slug"), F.when(k % 5 == 0, "").otherwise("n").alias("name")))
 
 
+@query("""SELECT 'p' || p_partkey AS slug, p_name AS name, p_type AS tagline, CASE WHEN p_partkey % 2 = 0 THEN 'about ' || p_name ELSE 'shared' END AS description, p_size::BIGINT AS upvotes, CASE WHEN p_partkey % 2 = 0 THEN '2024-03-0' || (p_size % 9 + 1) ELSE '' END AS launch_date,
+CASE WHEN p_partkey % 2 = 0 THEN 'b' || p_size || '|c' ELSE '' END AS makers, 'created' AS product_status FROM part WHERE p_partkey % 5 <> 0""")
+def product_page_records(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as stored pages: even ones with linked data, odd ones with titles alone, every fifth still being checked."""
+    from lattice.sources.pages import product_pages
+
+    p, k = load(spark, d, "part"), F.col("p_partkey")
+    who = lambda u: F.struct(F.lit("").alias("name"), F.concat(F.lit("https://x/@"), u).alias("url"))
+    ld = F.to_json(F.struct(F.col("p_name").alias("name"), F.concat(F.lit("about "), "p_name").alias("description"), F.concat(F.lit("2024-03-0"), text(F.col("p_size") % 9 + 1), F.lit("T00")).alias("datePublished"), F.array(who(F.concat(F.lit("b"), text("p_size"))), who(F.lit("c"))).alias("author"), F.array(F.struct(F.lit("UserLikes").alias("interactionType"), text("p_size").alias("userInteractionCount"))).alias("interactionStatistic")))
+    linked = F.concat(F.lit('<script type="application/ld+json">'), ld, F.lit("</script>"))
+    plain = F.concat(F.lit('<meta property="og:title" content="'), "p_name", F.lit(' | X"><meta property="og:description" content="shared"><script>{"votesCount": '), text("p_size"), F.lit("}</script>"))
+    body = F.when(k % 5 == 0, "<title>Just a moment...</title>").when(k % 2 == 0, linked).otherwise(plain)
+    pages = p.select(F.concat(F.lit("p"), text(k)).alias("slug"), F.concat(body, F.lit('<meta name="description" content="'), "p_type", F.lit('">')).alias("html"))
+    out = product_pages(pages, "X")
+    return out.select("slug", "name", "tagline", "description", "upvotes", "launch_date", bars(F.transform("makers", lambda m: m["username"])).alias("makers"), "product_status")
+
+
+@query("""WITH l AS (SELECT l_partkey, l_suppkey, bool_or(l_suppkey % 2 = 0) OVER (PARTITION BY l_partkey) AS listed FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)),
+r AS (SELECT l_partkey, 'u' || l_suppkey || ':' || CASE WHEN l_suppkey % 2 = 0 THEN 'maker' WHEN l_suppkey % 3 = 0 THEN 'hunter' WHEN listed THEN 'commenter' ELSE 'maker' END AS x FROM l)
+SELECT 'p' || l_partkey AS slug, string_agg(x, '|' ORDER BY x) AS makers FROM r GROUP BY 1""")
+def product_confirmed_makers(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers of a part as its people, the even ones listed as its makers; odd ones are hunters or said to be makers."""
+    from lattice.sources.pages import confirmed_makers
+
+    k = F.col("l_suppkey")
+    who = lambda role: F.struct(F.concat(F.lit("u"), text(k)).alias("username"), F.lit("n").alias("name"), F.lit(None).cast("string").alias("url"), role.alias("role"))
+    people = F.array_sort(F.collect_set(F.when(k % 4 != 0, who(F.when(k % 3 == 0, "hunter").otherwise("maker")))))
+    listed = F.array_sort(F.collect_set(F.when(k % 2 == 0, who(F.lit("maker")))))
+    by = load(spark, d, "lineitem").groupBy("l_partkey").agg(people.alias("makers"), listed.alias("listed"))
+    out = by.select(F.concat(F.lit("p"), text("l_partkey")).alias("slug"), confirmed_makers(F.col("makers"), F.col("listed")).alias("m"))
+    # people without a list keep their roles
+    return out.select("slug", bars(F.array_sort(F.transform("m", lambda x: F.concat_ws(":", x["username"], x["role"])))).alias("makers"))
+
+
 # --- upserts of the store ---------------------------------------------------------------------------
 
 

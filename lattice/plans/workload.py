@@ -481,6 +481,20 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return X.hybrid(docs, _WORDS, X.hash_embedding(_WORDS), 10, key="doc_id").select("doc_id", "rank", "score")
 
 
+@query(f"""WITH d AS (SELECT doc_id, text, {_COS} AS s FROM documents JOIN embeddings ON vec_id = doc_id), w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM d),
+p AS (SELECT term, doc_id, count(*) AS tf FROM w WHERE term IN ('the', 'nation', 'der') GROUP BY 1, 2), f AS (SELECT term, ln(((SELECT count(*) FROM d) + 1) / (count(*) + 1)::DOUBLE) AS idf FROM p GROUP BY 1),
+u AS (SELECT * FROM (SELECT 0 AS l, doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS r FROM d) WHERE r <= 30 UNION ALL SELECT * FROM (SELECT 1, doc_id, row_number() OVER (ORDER BY sum(tf * idf) DESC, doc_id) AS r FROM p JOIN f USING (term) GROUP BY doc_id) WHERE r <= 30),
+g AS (SELECT doc_id, sum(1.0::DOUBLE / (60 + r)) AS score FROM u GROUP BY 1 ORDER BY 2 DESC, min((l, r)), 1 LIMIT 10)
+SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id)::INTEGER AS rank, floor(score * 1e9 + 0.5) / 1e9 AS score FROM g""")
+def hybrid_by_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid search with stored vectors in place of the feature hash."""
+    e = load(spark, d, "embeddings")
+    q = e.where("vec_id = 0").first()["embedding"]
+    docs = load(spark, d, "documents").select("doc_id", "text").join(e.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    out = X.hybrid(docs, _WORDS, q, 10, key="doc_id")
+    return out.select("doc_id", "rank", (F.floor(F.col("score") * 1e9 + 0.5) / 1e9).cast("double").alias("score"))
+
+
 @query(r"""SELECT page_id, substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 1, 500) AS content FROM pages""")
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "pages").select("page_id", S.html_to_text(F.col("html"), 500).alias("content"))
@@ -502,7 +516,23 @@ def url_clean(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "pages").select("page_id", scheme.alias("scheme"), F.length("url").cast("bigint").alias("n"))
 
 
-@query()
+def _strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def _last(mark: str, n: int, end: int, extra: int = 0) -> str:
+    """Where to cut at the last ``mark`` of ``n`` characters between the least length and ``end``; null without one."""
+    part = f"substr(rest, {X.CHUNK_LEAST + 1}, {end - X.CHUNK_LEAST})"
+    return f"{X.CHUNK_LEAST + extra} + length({part}) - nullif(strpos(reverse({part}), reverse({mark})), 0) + 1 - {n}"
+
+
+_CHUNKS = f"""WITH RECURSIVE r AS (SELECT doc_id, 0::BIGINT AS i, {_strip("coalesce(text, '')")} AS rest, NULL::VARCHAR AS chunk FROM documents
+UNION ALL SELECT doc_id, i + 1, CASE WHEN length(rest) > {X.CHUNK_MOST} THEN {_strip('substr(rest, cut + 1)')} ELSE '' END, CASE WHEN length(rest) > {X.CHUNK_MOST} THEN {_strip('substr(rest, 1, cut)')} ELSE rest END
+FROM (SELECT *, coalesce({_last('chr(10) || chr(10)', 2, X.CHUNK_MOST)}, {_last('chr(10)', 1, X.CHUNK_MOST)}, {_last("'. '", 2, X.CHUNK_MOST - 1, 1)}, {_last("' '", 1, X.CHUNK_MOST)}, {X.CHUNK_MOST}) AS cut FROM r WHERE rest <> ''))
+SELECT doc_id, i - 1 AS chunk_index, doc_id || '::chunk_' || (i - 1) AS chunk_id, chunk AS text, count(*) OVER (PARTITION BY doc_id) AS total_chunks FROM r WHERE chunk IS NOT NULL"""
+
+
+@query(_CHUNKS)
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     return X.chunks(load(spark, d, "documents"), "doc_id", "text")
 

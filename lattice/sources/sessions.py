@@ -22,7 +22,7 @@ def read_lines(spark: SparkSession, root: str, project: str | None = None) -> Da
 
     ``project`` keeps directories whose name holds it, whatever the case.
     """
-    f = spark.read.option("wholetext", True).option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True).text(root).select(F.input_file_name().alias("p"), "value")
+    f = spark.read.option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True).text(root, wholetext=True).select(F.input_file_name().alias("p"), "value")
     parts = F.split("p", "/")
     out = f.select(F.regexp_replace(F.element_at(parts, -1), r"\.jsonl$", "").alias("session_id"), F.element_at(parts, -2).alias("dir"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     return out if project is None else out.where(F.contains(F.lower("dir"), F.lit(project.lower())))

@@ -275,3 +275,12 @@ def test_files_and_registry(spark, tmp_path):
     assert sorted(got(files.json_lines(spark, str(tmp_path / "x.jsonl"), "a int"))) == [(1,), (2,)]
     files.write_csv(spark.createDataFrame([(1, 'q"x')], "a int, b string"), str(tmp_path / "csv"))
     assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv")).first()["b"] == 'q"x'
+
+
+def test_lines_of_logs_are_numbered_in_each_file(spark, tmp_path):
+    d = tmp_path / "-home-x-projects-app"
+    d.mkdir()
+    for name, n in (("s1", 3), ("s2", 2)):
+        (d / f"{name}.jsonl").write_text("\n".join(json.dumps({"type": "user", "k": k}) for k in range(n)))
+    out = sessions.read_lines(spark, str(tmp_path)).collect()
+    assert sorted((r["session_id"], r["line_no"], json.loads(r["line"])["k"]) for r in out) == [("s1", 0, 0), ("s1", 1, 1), ("s1", 2, 2), ("s2", 0, 0), ("s2", 1, 1)]
