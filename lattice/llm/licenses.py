@@ -86,7 +86,8 @@ def templates() -> dict[str, str]:
 
 
 #: Words too common to be anchors.
-_COMMON = frozenset("a all and any as be by for from granted hereby in is it made may no not of on only or other part permission permitted program provided reproduced rights software source terms that the this to under use version with without work works you".split())
+_COMMON = frozenset("""a additional all and any application as be been but by conditions could do does each even every for free from general give granted have hereby if in include including into is it its made make may means more must new no not of on one only or
+original other own part people permission permitted person product provided public reproduced right rights same shall should so some such terms than that the their them then there these they this those to under use used version was which who will with without work works would you your""".split())
 
 
 def template_words(text: str) -> list[str]:
@@ -131,16 +132,15 @@ def anchors(templates: dict[str, str], share: float = CONTAINMENT) -> list[str]:
     """Few words such that in every template the shingles without any are less than ``share``."""
     sets = shingle_sets(templates)
     chosen: list[str] = []
-    open_ = dict(sets)
-    while open_:
+    free = {k: list(s) for k, s in sets.items()}  # the shingles without an anchor so far
+    while open_ := [k for k, f in free.items() if len(f) >= share * len(sets[k])]:
         gain: Counter[str] = Counter()
-        for k, s in open_.items():
-            free = [g for g in s if not any(a in g for a in chosen)]
-            held = Counter(w for g in free for w in set(g))
-            for word in [w for w in held if w not in _COMMON and not w.isdigit()] or held:
+        for k in open_:
+            held = Counter(w for g in free[k] for w in set(g))
+            for word in [w for w in held if w not in _COMMON and len(w) > 3 and not w.isdigit()] or held:
                 gain[word] += min(1.0, held[word] / len(sets[k]) / (1 - share)) * len(word)
         chosen.append(max(gain, key=lambda w: (gain[w], w)))
-        open_ = {k: s for k, s in sets.items() if sum(not any(a in g for a in chosen) for g in s) >= share * len(s)}
+        free = {k: [g for g in f if chosen[-1] not in g] for k, f in free.items()}
     return chosen
 
 
