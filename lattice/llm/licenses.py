@@ -14,9 +14,10 @@ templates of other licenses that hold half of a template's shingles or more are
 wanted share of those that a rival lacks must be in the window too. So a notice of one version is
 no match of another, and text that holds both notices matches both.
 
-Only windows with one of a few anchor words are sketched. The anchors are chosen so that the
-shingles without any make up less than the wanted share of every template: a window without
-anchors cannot match, and none is lost. Nor is a window with fewer shingles than any match needs.
+Only windows with an anchor are sketched. Of each template just more than the share that a match
+may lack are anchor shingles, those of the rarest words: a window without any of them cannot match, and
+none is lost. Nor is a window with fewer shingles than any match needs. Texts are only cut into words if
+they hold one of a few anchor words, chosen in the same way.
 
 Null, empty and short texts match nothing. The best window of each document and license is
 returned, of equals the first; rows that share an id are one document.
@@ -144,6 +145,15 @@ def anchors(templates: dict[str, str], share: float = CONTAINMENT) -> list[str]:
     return chosen
 
 
+def anchor_shingles(templates: dict[str, str], share: float = CONTAINMENT) -> list[str]:
+    """Of each template the shingles with most letters outside common words, just more of them than a match may lack."""
+    out: dict[str, None] = {}
+    for s in shingle_sets(templates).values():
+        rare = sorted(s, key=lambda g: (-sum(len(w) for w in g if w not in _COMMON and not w.isdigit()), g))
+        out.update(dict.fromkeys(" ".join(g) for g in rare[: math.floor((1 - share) * len(s) + 1e-9) + 1]))
+    return list(out)
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda w: w != "")
 
@@ -170,7 +180,9 @@ def template_tables(spark: SparkSession, templates: dict[str, str]) -> tuple[Dat
     rows = [(k, license_of(k), scale_of(len(template_words(t))), t, lacking[k]) for k, t in templates.items()]
     t = spark.createDataFrame(rows, "template string, license string, __scale int, __t string, __r array<array<string>>")
     hashed = F.transform("__r", lambda r: F.transform(r, lambda g: F.xxhash64(g)))
-    t = t.select("template", "license", "__scale", F.array_distinct(_shingles(_words(F.col("__t")))).alias("__ts"), hashed.alias("__rivals"))
+    # explode(array(x)), as in the scan, keeps x from being evaluated anew for each of its words
+    t = t.select("template", "license", "__scale", hashed.alias("__rivals"), F.explode(F.array(_words(F.col("__t")))).alias("__w"))
+    t = t.select("template", "license", "__scale", "__rivals", F.explode(F.array(F.array_distinct(_shingles(F.col("__w"))))).alias("__ts"))
     return t.select("template", "__scale", F.posexplode(_bands(F.col("__ts"))).alias("__band", "__min")), t.drop("__scale")
 
 
@@ -190,9 +202,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, id_col: st
         likely = likely | F.contains(lower, F.lit(a))
     # explode(array(x)) keeps x from being evaluated anew wherever it is used
     cut = source.where(likely).select("doc_id", F.explode(F.array(_words(F.col("__text")))).alias("__w"))
-    places = F.filter(F.transform("__w", lambda w, i: F.when(w.isin(words), i)), lambda i: i.isNotNull())
-    anchored = cut.select("doc_id", "__w", F.explode(F.array(places)).alias("__p")).where(F.size("__p") > 0)
-    shingled = anchored.select("doc_id", "__p", F.size("__w").alias("__n"), F.explode(F.array(_shingles(F.col("__w")))).alias("__s"))
+    shingled = cut.select("doc_id", F.size("__w").alias("__n"), F.explode(F.array(_shingles(F.col("__w")))).alias("__s"))
+    held = [r[0] for r in spark.createDataFrame([(g,) for g in anchor_shingles(templates, share)], "g string").select(F.xxhash64("g")).collect()]
+    places = F.filter(F.transform("__s", lambda x, i: F.when(x.isin(held), i)), lambda i: i.isNotNull())
+    shingled = shingled.select("*", F.explode(F.array(places)).alias("__p")).where(F.size("__p") > 0)
     # scales of which no template can match a text of this length are left out at once
     scales = F.filter(F.array(*(F.struct(F.lit(s).alias("s"), F.lit(n).alias("n")) for s, n in fewest.items())), lambda x: x["n"] <= F.size("__s"))
     around = F.flatten(F.transform("__p", lambda p: F.flatten(F.transform(scales, lambda x: _starts(p, x["s"])))))
