@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattice.llm import licenses, lines, substring
+from lattice.llm import licenses, lines, spelling, substring
 from lattice.llm.decontaminate import op5_decontaminate
 from lattice.llm.language_id import op10_language_id
 from lattice.llm.media import op2_media
@@ -14,6 +14,7 @@ from lattice.llm.near import op3_near_dedup
 from lattice.llm.pieces import op7_pieces
 from lattice.llm.quality import op4_quality
 from lattice.llm.token_counts import op8_token_counts
+from lattice.llm.whitening import op11_whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,8 +31,10 @@ def queries() -> dict[str, Query]:
         "op8_token_counts": op8_token_counts,
         "op9_line_dedup": lines.op9_line_dedup,
         "op10_language_id": op10_language_id,
+        "op11_whitening": op11_whitening,
+        "op13_spelling": spelling.op13_spelling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": licenses.sql(), "op6_substring_dedup": substring.SQL, "op9_line_dedup": lines.SQL}
+    return {"op1_licenses": licenses.sql(), "op6_substring_dedup": substring.SQL, "op9_line_dedup": lines.SQL, "op13_spelling": spelling.SQL}
