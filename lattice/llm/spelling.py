@@ -38,7 +38,7 @@ WIDTH = 64
 #: A form has at least this many times the word's occurrences.
 MORE = 5
 
-_NOT_LETTERS = "[^A-Za-z\\u00C0-\\u00FF]+"
+_LETTERS = "[A-Za-z\\u00C0-\\u00FF]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,8 +47,10 @@ def vocabulary(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lett
 
     A run whose digest with its document's id is divisible by ``every`` loses one letter, as a slip of the pen would.
     """
-    lowered = F.translate(F.col(text), _UPPER, _LOWER)
-    runs = docs.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("d"), F.explode(F.split(lowered, _NOT_LETTERS)).alias("run")).where(F.length("run") >= letters)
+    # long enough runs alone leave the text; those without accents are lower-cased as bytes
+    found = F.regexp_extract_all(F.col(text), F.lit(f"{_LETTERS}{{{letters},}}+"), F.lit(0))
+    own = F.when(F.octet_length("raw") == F.length("raw"), F.lower("raw")).otherwise(F.translate("raw", _UPPER, _LOWER))
+    runs = docs.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("d"), F.explode(found).alias("raw")).select("d", own.alias("run"))
     digest = runs.withColumn("h", F.crc32(F.concat("d", F.lit(":"), "run")))
     at = F.pmod(F.col("h"), F.length("run")).cast("int")
     slipped = F.concat(F.substring(F.col("run"), F.lit(1), at), F.substring(F.col("run"), at + 2, F.length("run")))
