@@ -12,6 +12,7 @@ from lattice.llm.language_id import op10_language_id
 from lattice.llm.media import op2_media
 from lattice.llm.near import op3_near_dedup
 from lattice.llm.pieces import op7_pieces
+from lattice.llm.privacy import op12_personal_data
 from lattice.llm.quality import op4_quality
 from lattice.llm.token_counts import op8_token_counts
 from lattice.llm.whitening import op11_whitening
@@ -32,6 +33,7 @@ def queries() -> dict[str, Query]:
         "op9_line_dedup": lines.op9_line_dedup,
         "op10_language_id": op10_language_id,
         "op11_whitening": op11_whitening,
+        "op12_personal_data": op12_personal_data,
         "op13_spelling": spelling.op13_spelling,
     }
 
