@@ -231,7 +231,7 @@ def transform(df: DataFrame, model: Whitening | None, *, key: str = "vec_id", ve
                 rows = len(x)
                 columns = [
                     s.column("id").take(pa.array(np.repeat(np.arange(rows), c))), pa.array(np.tile(np.arange(1, c + 1, dtype=np.int32), rows)), pa.array(np.full(rows * c, n, np.int64)),
-                    pa.array(_deviation(x, n, sums), pa.int64()).take(pa.array(np.repeat(np.arange(rows), c))), pa.array(((x - mean) @ scale).ravel()), pa.array(np.tile(explained, rows)), pa.array(np.full(rows * c, error)),
+                    pa.array(_deviation(x, n, sums), pa.int64()).take(pa.array(np.repeat(np.arange(rows), c))), pa.array(np.einsum("ij,jk->ik", x - mean, scale).ravel()), pa.array(np.tile(explained, rows)), pa.array(np.full(rows * c, error)),
                 ]
                 yield pa.record_batch(columns, names)
 
