@@ -54,11 +54,12 @@ def files_in_session(g: Graph, session_id: str) -> DataFrame:
     return expand(e, g.node("File")).select("path", "project", F.col("type").alias("action"), "count").orderBy("action", "path")
 
 
-def sessions_for_file(g: Graph, fragment: str, limit: int = 20) -> DataFrame:
+def sessions_for_file(g: Graph, fragment: str, limit: int | None = 20) -> DataFrame:
+    """The latest sessions that touched a file whose path holds ``fragment``; None: all of them."""
     files = g.node("File").where(F.contains("path", F.lit(fragment))).select(F.col("id").alias("__file"))
     e = g.edge(SESSION_ACTIONS, props=["count"]).join(files, F.col("dst") == F.col("__file"))
     out = expand(e, g.node("Session"), on="src").select("session_id", "project_name", "started_at", "slug", F.col("type").alias("action"), "count")
-    return out.orderBy(F.desc_nulls_last("started_at"), "session_id", "action").limit(limit)
+    return out if limit is None else out.orderBy(F.desc_nulls_last("started_at"), "session_id", "action").limit(limit)
 
 
 def hotfiles_by_sessions(g: Graph, project: str, limit: int = 10) -> DataFrame:

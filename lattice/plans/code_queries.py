@@ -135,7 +135,7 @@ def code_files_in_session(spark: SparkSession, d: str) -> DataFrame:
 
 @code("SELECT session.id AS session_id, project_name, started_at, slug, type AS action, count FROM acts JOIN file ON dst = file.id JOIN session ON src = session.id WHERE contains(path, '/12') ORDER BY started_at DESC, session.id, type, count LIMIT 20")
 def code_sessions_for_file(spark: SparkSession, d: str) -> DataFrame:
-    found = L.sessions_for_file(code_graph(spark, d), "/12", 1_000_000_000)
+    found = L.sessions_for_file(code_graph(spark, d), "/12", None)
     return found.orderBy(F.desc("started_at"), "session_id", "action", "count").limit(20)
 
 
