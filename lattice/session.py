@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -48,3 +49,10 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         if not named and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lattice-"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the checkpoint folder, that all executors share."""
+    ensure_checkpoints(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
