@@ -54,6 +54,14 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(t for w in words for t in re.split(_TERM, w.lower()) if t))
 
 
+def score_terms(index: DataFrame, total: DataFrame, key: str) -> DataFrame:
+    """key and score: the sum of tf * ln((N + 1) / (df + 1)) over ``index`` (term, key, tf); ``total`` is one row with N as ``__docs``."""
+    frequency = index.groupBy("term").agg(F.count("*").alias("df"))
+    idf = frequency.crossJoin(total).select("term", F.log((F.col("__docs") + 1) / (F.col("df") + 1)).alias("idf"))
+    weights = F.array_sort(F.collect_list(F.struct("term", (F.col("tf") * F.col("idf")).alias("w"))))
+    return index.join(F.broadcast(idf), "term").groupBy(key).agg(F.aggregate(weights, F.lit(0.0), lambda s, x: s + x["w"]).alias("score"))
+
+
 def tfidf(docs: DataFrame, query: str, n: int, *, key: str = "id", text: str = "text", where: Column | None = None, index: DataFrame | None = None) -> DataFrame:
     """The n documents of greatest sum of tf * ln((N + 1) / (df + 1)) over the query's terms; filtered before the limit."""
     wanted = query_terms(query)
@@ -61,10 +69,7 @@ def tfidf(docs: DataFrame, query: str, n: int, *, key: str = "id", text: str = "
     if not wanted:
         return source.select(key).limit(0).withColumn("score", F.lit(0.0))
     index = docs.select(key, F.explode(terms(F.col(text))).alias("term")).where(F.col("term").isin(wanted)).groupBy("term", key).agg(F.count("*").alias("tf")) if index is None else postings(index, wanted)
-    total = docs.agg(F.count("*").alias("__docs"))
-    frequency = index.groupBy("term").agg(F.count("*").alias("df"))
-    idf = frequency.crossJoin(total).select("term", F.log((F.col("__docs") + 1) / (F.col("df") + 1)).alias("idf"))
-    scored = index.join(F.broadcast(idf), "term").groupBy(key).agg(F.aggregate(F.array_sort(F.collect_list(F.struct("term", (F.col("tf") * F.col("idf")).alias("w")))), F.lit(0.0), lambda s, x: s + x["w"]).alias("score"))
+    scored = score_terms(index, docs.agg(F.count("*").alias("__docs")), key)
     if where is not None:
         scored = scored.join(source.select(key), key, "left_semi")
     return scored.orderBy(F.desc("score"), key).limit(n)

@@ -10,6 +10,6 @@ if TYPE_CHECKING:
 
 def registered() -> dict[str, Query]:
     """All queries of the engine by name."""
-    from lattice.plans import code_queries, cypher_queries, workload
+    from lattice.plans import code_queries, cypher_queries, stored, workload
 
-    return workload.QUERIES | code_queries.QUERIES | cypher_queries.QUERIES
+    return workload.QUERIES | code_queries.QUERIES | cypher_queries.QUERIES | stored.QUERIES
