@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattice.operators import ann
+from lattice.operators import ann, chunking
 from lattice.operators.postings import Postings
 from lattice.plans.star import load
 from lattice.plans.workload import Query, _floor6
@@ -95,3 +95,18 @@ def fulltext_stored_changed(spark: SparkSession, d: str) -> DataFrame:
     new = docs.where("lang = 'en' AND NOT (source <=> 'src1')").select("doc_id", F.concat(F.lit("the "), "text").alias("text"))
     p.add(new, key="doc_id")
     return p.scores("the nation der la", key="doc_id").select("doc_id", _floor6(F.col("score")).alias("score"))
+
+
+# --- chunks -----------------------------------------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, chr(10) || text AS body, 2 + length(text) - length(replace(text, chr(10), '')) AS n FROM conversations)
+SELECT conv_id, turn::INTEGER + 1 AS raw_index, 'Conversation ' || conv_id || ' > ' || role AS heading, (2 + coalesce(sum(n) OVER w, 0))::INTEGER AS start_line, (1 + n + coalesce(sum(n) OVER w, 0))::INTEGER AS end_line,
+'## ' || role || body AS text, (count(*) OVER (PARTITION BY conv_id) + 1)::INTEGER AS total FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+UNION ALL SELECT DISTINCT conv_id, 0, 'Conversation ' || conv_id, 1, 1, '# Conversation ' || conv_id, (count(*) OVER (PARTITION BY conv_id) + 1)::INTEGER FROM t""")
+def chunk_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as markdown, a heading for each turn, cut at the headings: path, raw index and lines of every section."""
+    c = load(spark, d, "conversations")
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.concat(F.lit("## "), t["role"], F.lit("\n"), t["text"]))
+    docs = c.groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", F.concat_ws("\n", F.concat(F.lit("# Conversation "), F.col("conv_id").cast("string")), F.array_join("turns", "\n")).alias("text"))
+    return chunking.chunked(docs, "text", chunking.MARKDOWN, least=0, most=1 << 30)
