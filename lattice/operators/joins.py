@@ -9,17 +9,46 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def contains_join(texts: DataFrame, text: str, fragments: DataFrame, fragment: str, gram: int = 3) -> DataFrame:
-    """Rows of both sides whose ``text`` holds ``fragment`` literally; empty and null fragments match nothing.
+def _grams(text: Column, n: int) -> Column:
+    """The distinct pieces of ``n`` characters; ``text`` is an array of characters."""
+    if n == 1:
+        return F.array_distinct(text)
+    pieces = F.transform(text, lambda c, i: F.concat(c, *[F.get(text, i + k) for k in range(1, n)]))
+    return F.array_distinct(F.filter(pieces, lambda g: g.isNotNull()))
 
-    A fragment's first ``gram`` characters are an equality key into the distinct grams of the
-    texts, and the whole is verified after; no nested loop. Fragments shorter than ``gram`` use
-    their own length as the key's.
+
+def contains_join(texts: DataFrame, text: str, fragments: DataFrame, fragment: str, gram: int = 3, by: Sequence[str] = ()) -> DataFrame:
+    """Rows of both sides that agree in ``by`` and whose ``text`` holds ``fragment`` literally; empty and null fragments match nothing.
+
+    A fragment meets only the texts that hold its rarest piece of ``gram`` characters (of its own length, if it is
+    shorter), by counts of the texts that hold each piece; the whole is verified after. Pieces travel with the
+    text's digest, and the text joins again when the candidates are known. No nested loop.
     """
-    f = fragments.where(F.length(fragment) > 0).withColumn("__n", F.least(F.length(fragment), F.lit(gram))).withColumn("__key", F.substring(F.col(fragment), F.lit(1), F.col("__n")))
-    grams: Column = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, n))).otherwise(F.array().cast("array<string>"))))
-    t = texts.withColumn("__key", F.explode(F.array_distinct(grams)))
-    return t.join(f, "__key").where(F.contains(text, F.col(fragment))).drop("__key", "__n")
+    by = list(by)
+    digest = [F.xxhash64(F.col(text)).alias("__h1"), F.xxhash64(F.col(text), F.lit(1)).alias("__h2")]
+    f = fragments.where(F.length(fragment) > 0).select(*by, F.col(fragment).alias("__f")).distinct()
+    f = f.withColumn("__chars", F.split("__f", "")).withColumn("__chars", F.filter("__chars", lambda c: c != ""))
+    t = texts.where(F.length(text) > 0).select(*by, *digest, F.filter(F.split(text, ""), lambda c: c != "").alias("__chars"))
+    own: DataFrame | None = None
+    for n in range(1, gram + 1):
+        long = (F.length("__f") >= n) if n == gram else (F.length("__f") == n)
+        part = f.where(long).select(*by, "__f", F.explode(_grams(F.col("__chars"), n)).alias("__gram"))
+        own = part if own is None else own.unionByName(part)
+    # all lengths in one pass over the texts; a piece of a length is no piece of another
+    held = t.select(*by, "__h1", "__h2", F.explode(F.flatten(F.array(*[_grams(F.col("__chars"), n) for n in range(1, gram + 1)]))).alias("__gram"))
+    wanted = held.join(own.select(*by, "__gram").distinct(), [*by, "__gram"], "left_semi")
+    counted = wanted.groupBy(*by, "__gram").agg(F.count("*").alias("__n"))
+    # a piece that no text holds rules its fragment out
+    rarest = own.join(counted, [*by, "__gram"], "left").groupBy(*by, "__f").agg(F.min_by("__gram", F.struct(F.coalesce("__n", F.lit(0)), F.col("__gram"))).alias("__gram"), F.min(F.coalesce("__n", F.lit(0))).alias("__n"))
+    keys = rarest.where("__n > 0").drop("__n")
+    candidates = held.join(keys, [*by, "__gram"]).select(*by, "__h1", "__h2", "__f").distinct()
+    # columns of both sides go by number until the end, so that equal names do not meet
+    named = lambda df, mark: [F.col(c).alias(f"{mark}{i}") for i, c in enumerate(df.columns)]
+    whole = texts.select(*by, *digest, F.col(text).alias("__t"), *named(texts, "__left"))
+    found = whole.join(candidates, [*by, "__h1", "__h2"]).where(F.contains("__t", F.col("__f")))
+    both = found.join(fragments.select(*by, F.col(fragment).alias("__f"), *named(fragments, "__right")), [*by, "__f"])
+    out = both.select(*[F.col(f"__left{i}").alias(c) for i, c in enumerate(texts.columns)], *[F.col(f"__right{i}").alias(c) for i, c in enumerate(fragments.columns) if c not in by])
+    return out
 
 
 def interval_assign(points: DataFrame, at: str, marks: DataFrame, start: str, by: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:

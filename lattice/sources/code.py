@@ -199,8 +199,8 @@ def import_edges(records: DataFrame, files: DataFrame, packages: DataFrame, fait
     """IMPORTS edges to files of the project whose path holds the fragment, and to known packages."""
     inside, name = classify_import(F.col("name"), F.col("lang"))
     i = records.where(F.col("what") == "import").select(F.concat_ws("|", "project", "path").alias("src"), "project", "lang", inside.alias("inside"), name.alias("target"))
-    own = i.where("inside").select("src", F.col("project").alias("__p"), import_fragment(F.col("target"), F.col("lang"), faithful).alias("fragment"))
-    both = contains_join(files.select(F.col("id").alias("dst"), "path", "project"), "path", own, "fragment").where((F.col("project") == F.col("__p")) & (F.col("src") != F.col("dst")))
+    own = i.where("inside").select("src", "project", import_fragment(F.col("target"), F.col("lang"), faithful).alias("fragment"))
+    both = contains_join(files.select(F.col("id").alias("dst"), "path", "project"), "path", own, "fragment", by=["project"]).where(F.col("src") != F.col("dst"))
     out = i.where(~F.col("inside")).join(packages.select(F.col("id").alias("dst"), F.col("name").alias("target")), "target")
     return both.select("src", "dst").distinct(), out.select("src", "dst").distinct()
 

@@ -1,3 +1,4 @@
+import random
 import string
 
 import pytest
@@ -84,6 +85,35 @@ def test_contains_join_equals_nested_loop(spark):
     assert sorted(got(J.contains_join(t, "t", f, "f").select("t", "f"))) == sorted((a, b) for a in texts if a is not None for b in frags if b and b in a)
 
 
+def test_contains_join_by_a_key_and_odd_letters(spark):
+    rnd = random.Random(5)
+    piece = lambda n: "".join(rnd.choice("abé🙂") for _ in range(rnd.randrange(n)))
+    texts = [(rnd.choice("pq"), piece(12) or None, k) for k in range(80)] + [(None, "ab", 90)]
+    frags = [(rnd.choice("pq"), piece(6) or None, k) for k in range(60)] + [(None, "ab", 99), ("p", "ab", 60), ("p", "ab", 61)]
+    t, f = spark.createDataFrame(texts + texts[:5], "k string, t string, i int"), spark.createDataFrame(frags, "k string, f string, j int")
+    want = sorted((a, x, i, y, j) for a, x, i in texts + texts[:5] for b, y, j in frags if a == b and a and x and y and y in x)
+    assert sorted(got(J.contains_join(t, "t", f, "f", by=["k"]).select("k", "t", "i", "f", "j"))) == want
+
+
+def test_contains_join_meets_by_the_rarest_piece(spark, monkeypatch):
+    """Names with one beginning, in texts that all hold that beginning: candidates are few more than matches."""
+    texts = [f"the use of the user {k % 400} and item{k}" for k in range(4000)]
+    frags = [f"the user {k} and" for k in range(400)] + [f"use of the user {k} " for k in range(300, 600)]
+    t, f = spark.createDataFrame([(x,) for x in texts], "t string"), spark.createDataFrame([(x,) for x in frags], "f string")
+    seen = []
+    real = F.contains
+
+    def counting(a, b):
+        seen.append(1)
+        return F.lit(True)  # candidates as they are
+
+    matches = J.contains_join(t, "t", f, "f", gram=6).count()
+    monkeypatch.setattr(J.F, "contains", counting)
+    candidates = J.contains_join(t, "t", f, "f", gram=6).count()
+    monkeypatch.setattr(J.F, "contains", real)
+    assert seen and matches == sum(b in a for a in texts for b in frags) and matches <= candidates <= 2 * matches
+
+
 def test_interval_and_siblings(spark):
     p = spark.createDataFrame([("u", 1), ("u", 5), ("u", 9), ("v", 1)], "k string, at int")
     m = spark.createDataFrame([("u", 2, "x"), ("u", 9, "y")], "k string, at int, name string")
