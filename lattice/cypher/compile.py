@@ -138,7 +138,8 @@ class Compiler:
         if unknown:
             raise CypherError(f"no edge type {unknown[0]}")
         triples = [t for t in self.g.edges if not r.types or t[1] in r.types]
-        props = self.wanted(r.var, {c for t in triples for c in self.g.edges[t].columns}, ("src", "dst"))
+        props = self.wanted(r.var, {c for t in triples for c in self.g.edges[t].columns}, ("src", "dst", "eid"))
+        identity = identity or any("eid" in self.g.edges[t].columns for t in triples)
         kinds = {p: {self.g.edges[t].schema[p].dataType.simpleString() for t in triples if p in self.g.edges[t].columns} for p in props}
         out: DataFrame | None = None
         for way in (1, -1):
@@ -154,7 +155,8 @@ class Compiler:
                 start, end = ("src", "dst") if way == 1 else ("dst", "src")
                 cols = [F.col(start).cast("string").alias(f"{var}.from"), F.lit(one).alias(f"{var}.from_label"), F.col(end).cast("string").alias(f"{var}.to"), F.lit(two).alias(f"{var}.to_label"), F.lit(t[1]).alias(f"{var}.type")]
                 if identity:
-                    cols.append(F.xxhash64(F.lit("|".join(t)), *[F.col(c) for c in sorted(e.columns)]).alias(f"{var}.eid"))
+                    own = ["eid"] if "eid" in e.columns else sorted(e.columns)
+                    cols.append(F.xxhash64(F.lit("|".join(t)), *[F.col(c) for c in own]).alias(f"{var}.eid"))
                 for p in props:
                     kind = next(iter(kinds[p])) if len(kinds[p]) == 1 else "string"
                     cols.append((F.col(p) if p in e.columns else F.lit(None)).cast(kind).alias(f"{var}.p.{p}"))
@@ -265,6 +267,8 @@ class Compiler:
         low, high = r.hops
         last = s.clauses[-1]
         ends = r.direction != 0 and low == 1 and not r.named and last.distinct and not any(_aggregated(i.expr) for i in last.items) and sum(isinstance(c, Project) for c in s.clauses) == 1
+        if not ends and r.direction != 0 and not r.named and (high <= 1 or not self.g.repeats(r.types)) and not any(isinstance(f.dataType, _maps()) for f in df.schema):
+            return self.count_paths(df, kinds, labels, r, here, there, s)
         level = df.withColumn("__at", _q(f"{here.var}.id")).withColumn("__at_label", _q(f"{here.var}.label")).withColumn("__used", F.array().cast("array<bigint>"))
         out = level if low == 0 else None
         for k in range(1, high + 1):
@@ -283,6 +287,35 @@ class Compiler:
         out = self.arrive(out, kinds, labels, there, F.col("__at"), F.col("__at_label"))
         return out.drop("__at", "__at_label", "__used")
 
+    def count_paths(self, df: DataFrame, kinds: dict, labels: dict, r: Rel, here: Node, there: Node, s: Statement) -> DataFrame:
+        """Ends of paths with the number of paths in ``__paths``, or a row for each path where the statement asks for rows."""
+        low, high = r.hops
+        if "__paths" not in df.columns:
+            df = df.withColumn("__paths", F.lit(1).cast("bigint"))
+        level = df.withColumn("__at", _q(f"{here.var}.id")).withColumn("__at_label", _q(f"{here.var}.label"))
+        out = level if low == 0 else None
+        for k in range(1, high + 1):
+            e = self.edges(r, (), (), "__e", False)
+            step = level.join(e, (F.col("__at") == _q("__e.from")) & (F.col("__at_label") == _q("__e.from_label")))
+            step = step.withColumn("__at", _q("__e.to")).withColumn("__at_label", _q("__e.to_label"))
+            keys = [c for c in step.columns if not c.startswith("__e.") and c != "__paths"]
+            level = step.groupBy(*[_q(c) for c in keys]).agg(F.sum("__paths").alias("__paths")).select(*[_q(c) for c in level.columns])
+            if k >= low:
+                out = level if out is None else out.unionByName(level)
+        if there.labels:
+            out = out.where(F.col("__at_label").isin(*there.labels))
+        out = self.arrive(out, kinds, labels, there, F.col("__at"), F.col("__at_label")).drop("__at", "__at_label")
+        if not self.counted(s):
+            out = out.withColumn("__one", F.explode(F.array_repeat(F.lit(1), F.col("__paths").cast("int")))).drop("__one", "__paths")
+        return out
+
+    @staticmethod
+    def counted(s: Statement) -> bool:
+        """Whether the statement only counts and sums over its rows, so that a row may stand for several."""
+        projects = [c for c in s.clauses if isinstance(c, Project)]
+        calls = [x for i in projects[0].items for x in _walk(i.expr) if isinstance(x, Call) and x.name in _AGGREGATES] if len(projects) == 1 else []
+        return bool(calls) and all(c.name in ("count", "sum", "min", "max") for c in calls) and not any(isinstance(c, Match) and c.optional or isinstance(c, Unwind) for c in s.clauses)
+
     def unwind(self, state: _State, u: Unwind) -> _State:
         df = state.df if state.df is not None else self.g.spark.range(1).select()
         values = self.value(u.expr)
@@ -427,7 +460,8 @@ class Compiler:
             return None
         if s.kinds[e.name] == "node":
             return F.struct(_q(f"{e.name}.label"), _q(f"{e.name}.id"))
-        return F.struct(_q(f"{e.name}.type"), _q(f"{e.name}.from"), _q(f"{e.name}.to"))
+        number = [_q(f"{e.name}.eid")] if f"{e.name}.eid" in s.df.columns else []
+        return F.struct(_q(f"{e.name}.type"), _q(f"{e.name}.from"), _q(f"{e.name}.to")) if not number else F.struct(_q(f"{e.name}.type"), *number)
 
     def op(self, e: Op, s: _State) -> Column:
         if e.op in ("=", "<>"):
@@ -453,14 +487,16 @@ class Compiler:
         return simple[e.op]()
 
     def call(self, e: Call, s: _State) -> Column:
+        # a row that stands for several paths counts as many times
+        times = F.col("__paths") if s.df is not None and "__paths" in s.df.columns else None
         if e.name == "count":
             if e.star:
-                return F.count(F.lit(1))
+                return F.count(F.lit(1)) if times is None else F.coalesce(F.sum(times), F.lit(0))
             only = e.args[0]
             c = _q(f"{only.name}.id" if s.kinds[only.name] == "node" else f"{only.name}.type") if isinstance(only, Name) and s.kinds.get(only.name) in ("node", "edge") else self.expr(only, s)
             if e.distinct:
                 return F.countDistinct(self.entity(only, s) if self.entity(only, s) is not None else c)
-            return F.count(c)
+            return F.count(c) if times is None else F.coalesce(F.sum(F.when(c.isNotNull(), times)), F.lit(0))
         if e.name in ("type", "labels", "id") and isinstance(e.args[0], Name):
             v = e.args[0].name
             return _q(f"{v}.type") if e.name == "type" else F.array(_q(f"{v}.label")) if e.name == "labels" else _q(f"{v}.id")
@@ -468,7 +504,7 @@ class Compiler:
         if e.name in ("sum", "avg", "min", "max"):
             if e.distinct:
                 return {"sum": F.sum_distinct, "avg": F.avg, "min": F.min, "max": F.max}[e.name](a[0])
-            return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[e.name](a[0])
+            return F.sum(a[0] * times) if e.name == "sum" and times is not None else {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[e.name](a[0])
         if e.name == "collect":
             # lists are sorted, so that a result does not depend on the order of rows
             return F.array_sort(F.collect_set(a[0]) if e.distinct else F.collect_list(a[0]))

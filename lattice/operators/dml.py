@@ -15,6 +15,7 @@ from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lattice.operators.joins import dedupe_by_priority
 
@@ -48,10 +49,24 @@ def created_edges(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def append_edges(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Edges of which there may be several for a pair of ends."""
+    """Edges of which there may be several for a pair of ends; where the old ones are numbered, the new ones are too, apart from each other."""
+    if "eid" in old.columns:
+        new = number_edges(new)
     return old.unionByName(new, allowMissingColumns=True)
 
 
+def number_edges(edges: DataFrame) -> DataFrame:
+    """``edges`` with ``eid``, a number of each edge that stays with it: by its columns, and its place among equal rows.
+
+    Edges that have one keep it. Equal parallel rows get different numbers, a row the same in every run.
+    """
+    if "eid" in edges.columns:
+        return edges
+    own = [F.col(c) for c in sorted(edges.columns)]
+    place = F.row_number().over(Window.partitionBy(*own).orderBy(F.lit(0)))
+    return edges.withColumn("__place", place).withColumn("eid", F.xxhash64(*own, F.col("__place"))).drop("__place")
+
+
 def replace_children(old: DataFrame, new: DataFrame, parent: Sequence[str]) -> DataFrame:
     """The new rows in place of all old ones of their parents."""
     return old.join(new.select(*parent).distinct(), list(parent), "left_anti").select(*old.columns).unionByName(new, allowMissingColumns=True)

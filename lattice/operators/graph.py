@@ -21,9 +21,32 @@ Triple = tuple[str, str, str]
 
 @dataclass
 class Graph:
+    """Node frames by label and edge frames by triple. An edge frame may have ``eid``, a number of each edge; ``acyclic`` are types that together have no cycle."""
+
     spark: SparkSession
     nodes: dict[str, DataFrame] = field(default_factory=dict)
     edges: dict[Triple, DataFrame] = field(default_factory=dict)
+    acyclic: frozenset[str] = frozenset()
+
+    def repeats(self, types: Iterable[str] | None = None) -> bool:
+        """Whether a directed path over edges of ``types`` could use an edge twice, as far as labels tell.
+
+        It cannot if no edge leads within a cycle of labels, or only edges of ``acyclic`` types do.
+        """
+        triples = self.triples(types or None)
+        ahead: dict[str, set[str]] = {}
+        for a, _, b in triples:
+            ahead.setdefault(a, set()).add(b)
+        reached: dict[str, set[str]] = {}
+        for a in ahead:
+            todo, seen = [a], set()
+            while todo:
+                for b in ahead.get(todo.pop(), ()):
+                    if b not in seen:
+                        seen.add(b)
+                        todo.append(b)
+            reached[a] = seen
+        return any(kind not in self.acyclic and a in reached.get(b, set()) | {b} for a, kind, b in triples)
 
     def node(self, label: str) -> DataFrame:
         if label not in self.nodes:

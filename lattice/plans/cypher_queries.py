@@ -35,6 +35,15 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "cypher_comma": ("MATCH (r:Region), (n:Nation) WHERE r.name <> n.name RETURN COUNT(*) AS pairs", "SELECT count(*) AS pairs FROM region, nation WHERE r_name <> n_name"),
     "cypher_var_length": ("MATCH (s:Supplier {id: '3'})-[:IN_NATION|IN_REGION*1..2]->(x) RETURN DISTINCT labels(x)[0] AS kind, x.name AS name", "SELECT 'Nation' AS kind, n_name AS name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey = 3 UNION SELECT 'Region', r_name FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE s_suppkey = 3"),
     "cypher_any_label": ("MATCH (n) RETURN labels(n)[0] AS kind, COUNT(n) AS n", "SELECT 'Region' AS kind, count(*) AS n FROM region UNION ALL SELECT 'Nation', count(*) FROM nation UNION ALL SELECT 'Customer', count(*) FROM customer UNION ALL SELECT 'Supplier', count(*) FROM supplier UNION ALL SELECT 'Part', count(*) FROM part UNION ALL SELECT 'Order', count(*) FROM orders"),
+    "cypher_parallel_edges": (
+        "MATCH (o:Order)-[a:CONTAINS]->(p:Part), (o)-[b:CONTAINS]->(p) RETURN p.id AS part, COUNT(*) AS pairs, COUNT(DISTINCT a) AS edges",
+        "SELECT part, sum(n * (n - 1))::BIGINT AS pairs, sum(n)::BIGINT AS edges FROM (SELECT l_partkey::VARCHAR AS part, l_orderkey, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1",
+    ),
+    "cypher_path_counts": (
+        "MATCH (n:Nation)<-[:IN_NATION]-(c:Customer)-[:PLACED|CONTAINS*1..2]->(x) RETURN n.name AS nation, labels(x)[0] AS kind, COUNT(*) AS paths, COUNT(DISTINCT x) AS ends, MAX(c.balance) AS balance",
+        """WITH p AS (SELECT c_nationkey, c_custkey, c_acctbal, 'Order' AS kind, o_orderkey AS x FROM customer JOIN orders ON o_custkey = c_custkey UNION ALL SELECT c_nationkey, c_custkey, c_acctbal, 'Part', l_partkey FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey)
+        SELECT n_name AS nation, kind, count(*) AS paths, count(DISTINCT x) AS ends, max(c_acctbal) AS balance FROM p JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2""",
+    ),
     "cypher_skip": ("MATCH (n:Nation) RETURN n.name AS name ORDER BY name SKIP 5 LIMIT 5", "SELECT n_name AS name FROM nation ORDER BY 1 LIMIT 5 OFFSET 5"),
 }
 

@@ -37,7 +37,7 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
             ("Customer", "IN_NATION", "Nation"): customer.select(key("c_custkey").alias("src"), key("c_nationkey").alias("dst")),
             ("Supplier", "IN_NATION", "Nation"): supplier.select(key("s_suppkey").alias("src"), key("s_nationkey").alias("dst")),
             ("Customer", "PLACED", "Order"): orders.select(key("o_custkey").alias("src"), key("o_orderkey").alias("dst")),
-            ("Order", "CONTAINS", "Part"): line.select(key("l_orderkey").alias("src"), key("l_partkey").alias("dst"), F.col("l_quantity").cast("bigint").alias("quantity")),
+            ("Order", "CONTAINS", "Part"): line.select(key("l_orderkey").alias("src"), key("l_partkey").alias("dst"), F.col("l_quantity").cast("bigint").alias("quantity"), F.xxhash64(*line.columns).alias("eid")),
             ("Supplier", "SUPPLIES", "Part"): line.select(key("l_suppkey").alias("src"), key("l_partkey").alias("dst")).distinct(),
         },
     )

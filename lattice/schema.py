@@ -25,6 +25,9 @@ EDGES = {
     ("Session", "IN_PROJECT", "Project"): "src STRING, dst STRING",
 }
 
+#: Edges of which equal ones may lie side by side; where they are stored each has a number, ``eid``.
+NUMBERED = (("File", "MODIFIED", "File"),)
+
 #: What identifies a node of each label; ``id`` is these columns joined by a bar.
 KEYS = {"Project": ["name"], "File": ["project", "path"], "Symbol": ["project", "file", "name"], "Package": ["name"], "Session": ["session_id"]}
 

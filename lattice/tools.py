@@ -19,7 +19,7 @@ from lattice.operators import profiles as M
 from lattice.operators import reports as R
 from lattice.operators import text as X
 from lattice.operators import vectors as V
-from lattice.operators.dml import Store, clear_projects, upsert_counts
+from lattice.operators.dml import Store, append_edges, clear_projects, number_edges, upsert_counts
 from lattice.operators.graph import Graph, neighbours
 from lattice.operators.joins import missing, related_by_tag, with_siblings
 from lattice.sources import code, files, gitlog, manifests, notes
@@ -55,7 +55,7 @@ class Engine:
         """The code graph as stored; labels and types without a table are empty."""
         s = self.store
         nodes = {k: s.read(f"node_{k}", ddl) for k, ddl in schema.NODES.items()}
-        edges = {t: s.read(self._edge_name(t), ddl) for t, ddl in schema.EDGES.items()}
+        edges = {t: s.read(self._edge_name(t), f"{ddl}, eid BIGINT" if t in schema.NUMBERED else ddl) for t, ddl in schema.EDGES.items()}
         return Graph(self.spark, nodes, edges)
 
     def save(self, g: Graph) -> None:
@@ -97,9 +97,10 @@ class Engine:
             merged[label] = missing(nodes[label], df, ["id"]).unionByName(df.select(*nodes[label].columns))
         joined = dict(edges)
         for t, df in new_edges.items():
-            joined[t] = edges[t].unionByName(df.select(*edges[t].columns))
-            if t[1] != "MODIFIED":
-                joined[t] = joined[t].dropDuplicates(["src", "dst"])
+            if t in schema.NUMBERED:
+                joined[t] = append_edges(number_edges(edges[t]), df)
+            else:
+                joined[t] = edges[t].unionByName(df.select(*edges[t].columns)).dropDuplicates(["src", "dst"])
         self.save(Graph(self.spark, merged, joined))
         return rows(self.graph().stats().orderBy("kind", "name"))
 

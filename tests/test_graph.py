@@ -1,9 +1,15 @@
+import random
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
+from lattice import cypher
 from lattice.cypher import CypherError, positional, run
+from lattice.operators import dml as D
 from lattice.operators import library as L
 from lattice.operators import reports as R
-from lattice.operators.graph import degree, reach, shared_endpoint_pairs, shared_endpoints
+from lattice.operators.graph import Graph, degree, reach, shared_endpoint_pairs, shared_endpoints
 
 from .conftest import got
 from .graphs import mini
@@ -114,3 +120,81 @@ def test_cypher_against_brute_force(spark):
         rows = sorted(got(run(g, "MATCH (a:N)-[:E*1..2]->(b:N) RETURN a.id AS a, b.id AS b")))
         two = [(a, d) for a, b in edges for c, d in edges if b == c and (a, b) != (c, d)]
         assert rows == sorted([*edges, *two])
+
+
+# --- edge numbers and path counts
+
+
+def test_equal_parallel_edges_are_two(spark):
+    g = mini(spark)
+    t = ("File", "MODIFIED", "File")
+    one = g.edges[t].limit(1)
+    util = "MATCH (a:File)-[r:MODIFIED]->(b:File), (a)-[q:MODIFIED]->(b) RETURN COUNT(*) AS n"
+    g.edges[t] = D.number_edges(one.unionByName(one))
+    assert got(cypher.run(g, util)) == [(2,)]
+    assert got(cypher.run(g, "MATCH (a:File)-[r:MODIFIED]->(b:File) RETURN COUNT(DISTINCT r) AS n, COUNT(r) AS m")) == [(2, 2)]
+    assert len({r["eid"] for r in g.edges[t].collect()}) == 2 and D.number_edges(g.edges[t]) is g.edges[t]
+    # a number does not depend on the run, and is no property
+    assert sorted(got(g.edges[t].select("eid"))) == sorted(got(D.number_edges(one.unionByName(one)).select("eid")))
+    assert "eid" not in cypher.run(g, "MATCH (a:File)-[r:MODIFIED]->(b:File) RETURN r").schema["r"].dataType.fieldNames()
+    # without numbers equal rows are one edge
+    g.edges[t] = one.unionByName(one)
+    assert got(cypher.run(g, util)) == [(0,)]
+    both = D.append_edges(D.number_edges(one), one.withColumn("lines_added", F.lit(99).cast("bigint")))
+    assert both.where("eid IS NULL").count() == 0 and both.select("eid").distinct().count() == 2
+
+
+def layered(spark, seed):
+    """Random edges over layers A, B, C and D, some skipping one, some parallel."""
+    rnd = random.Random(seed)
+    names = {x: [f"{x}{k}" for k in range(4)] for x in "ABCD"}
+    nodes = {x: spark.createDataFrame([(i, k) for k, i in enumerate(v)], "id STRING, w BIGINT") for x, v in names.items()}
+    edges = {(a, f"E{a}{b}", b): [(rnd.choice(names[a]), rnd.choice(names[b])) for _ in range(rnd.randrange(1, 9))] for a, b in ("AB", "BC", "CD", "AC")}
+    return Graph(spark, nodes, {t: D.number_edges(spark.createDataFrame(v, "src STRING, dst STRING")) for t, v in edges.items()}), edges
+
+
+def brute_paths(edges, low, high):
+    """(start, end) of every path from a node of A, listed edge by edge."""
+    out, level = [], [(f"A{k}", f"A{k}") for k in range(4)]
+    flat = [e for v in edges.values() for e in v]
+    for k in range(high + 1):
+        if k >= low:
+            out += level
+        level = [(s, b) for s, at in level for a, b in flat if a == at]
+    return out
+
+
+@pytest.mark.parametrize(("seed", "low", "high"), [(1, 1, 3), (2, 0, 3), (3, 2, 2), (4, 1, 1)])
+def test_path_counts_equal_listed_paths(spark, seed, low, high):
+    g, edges = layered(spark, seed)
+    assert not g.repeats()
+    want = brute_paths(edges, low, high)
+    pattern = f"MATCH (a:A)-[:EAB|EBC|ECD|EAC*{low}..{high}]->(x)"
+    rows = {(r["s"], r["e"]): (r["n"], r["w"]) for r in cypher.run(g, f"{pattern} RETURN a.id AS s, x.id AS e, COUNT(*) AS n, SUM(a.w) AS w").collect()}
+    counts = Counter(want)
+    assert rows == {k: (n, n * int(k[0][1])) for k, n in counts.items()}
+    assert got(cypher.run(g, f"{pattern} RETURN COUNT(x) AS n, COUNT(DISTINCT x) AS d, MAX(x.id) AS m")) == [(len(want), len({e for _, e in want}), max(e for _, e in want))]
+    # rows are still rows
+    assert sorted(got(cypher.run(g, f"{pattern} RETURN a.id AS s, x.id AS e"))) == sorted(want)
+    plan = cypher.run(g, f"{pattern} RETURN COUNT(*) AS n")._jdf.queryExecution().toString()
+    assert "array_append" not in plan
+
+
+def test_cycles_of_labels_list_their_paths(spark):
+    ring = [("f0", "f1"), ("f1", "f2"), ("f2", "f0"), ("f0", "f0")]
+    nodes = {"F": spark.createDataFrame([(f"f{k}",) for k in range(3)], "id STRING")}
+    g = Graph(spark, nodes, {("F", "TO", "F"): spark.createDataFrame(ring, "src STRING, dst STRING")})
+    assert g.repeats() and not Graph(spark, nodes, g.edges, acyclic=frozenset({"TO"})).repeats()
+
+    def trails(high):
+        out, level = 0, [((), f"f{k}") for k in range(3)]
+        for _ in range(high):
+            level = [((*used, e), e[1]) for used, at in level for e in ring if e[0] == at and e not in used]
+            out += len(level)
+        return out
+
+    for high in (1, 2, 4):
+        assert got(cypher.run(g, f"MATCH (a:F)-[:TO*1..{high}]->(b:F) RETURN COUNT(*) AS n")) == [(trails(high),)]
+    # a declared lack of cycles is taken at its word
+    line = Graph(spark, nodes, {("F", "TO", "F"): spark.createDataFrame([("f0", "f1"), ("f1", "f2"), ("f0", "f1")], "src STRING, dst STRING")}, acyclic=frozenset({"TO"}))
+    assert got(cypher.run(line, "MATCH (a:F)-[:TO*1..3]->(b:F) RETURN COUNT(*) AS n")) == [(5,)]
