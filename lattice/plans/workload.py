@@ -149,17 +149,9 @@ def polymorphic_targets(spark: SparkSession, d: str) -> DataFrame:
     return both.select("source", F.col("src_label").alias("target_type"), F.coalesce("c", "s").alias("target"))
 
 
-@query("SELECT a.l_orderkey AS order_key, count(*) AS callers FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey WHERE a.l_orderkey <= 50 GROUP BY 1")
-def callers_residual(spark: SparkSession, d: str) -> DataFrame:
-    line = load(spark, d, "lineitem")
-    a = line.where(F.col("l_orderkey") <= 50).select("l_orderkey", "l_partkey", F.col("l_suppkey").alias("sa"))
-    b = line.select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("sb"))
-    return a.join(b, (F.col("l_partkey") == F.col("p")) & (F.col("sa") != F.col("sb"))).groupBy(F.col("l_orderkey").alias("order_key")).agg(F.count("*").alias("callers"))
-
-
 @query("SELECT l_orderkey AS order_key, sum(n - own)::BIGINT AS callers FROM lineitem JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_suppkey IS NOT NULL GROUP BY 1) USING (l_partkey) JOIN (SELECT l_partkey, l_suppkey, count(*) AS own FROM lineitem GROUP BY 1, 2) USING (l_partkey, l_suppkey) GROUP BY 1 HAVING sum(n - own) > 0")
 def callers_residual_all(spark: SparkSession, d: str) -> DataFrame:
-    """``callers_residual`` for every order: lines of the part less those of the same supplier, by aggregates instead of all pairs."""
+    """For every order the callers of its parts: lines of the part less those of the same supplier, by aggregates instead of all pairs."""
     line = load(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").where(F.col("l_suppkey").isNotNull())
     own = line.groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("own"))
     other = own.join(own.groupBy("l_partkey").agg(F.sum("own").alias("n")), "l_partkey").select("l_partkey", "l_suppkey", (F.col("n") - F.col("own")).alias("other"))
@@ -224,16 +216,9 @@ def sibling_collect(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("order_key")).agg(bars(F.array_sort(F.collect_set(F.col("l_linenumber").cast("string")))).alias("siblings"))
 
 
-@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, coalesce(nullif(d.lang, ''), l.lang) AS lang, greatest(d.n, l.n) AS n FROM (SELECT doc_id, lang, n_chars AS n FROM documents WHERE doc_id % 3 <> 0) d FULL JOIN (SELECT doc_id, CASE quality WHEN 1 THEN 'good' ELSE 'bad' END AS lang, 1000::BIGINT AS n FROM labels) l ON d.doc_id = l.doc_id")
-def merge_with_precedence(spark: SparkSession, d: str) -> DataFrame:
-    a = load(spark, d, "documents").where(F.col("doc_id") % 3 != 0).select("doc_id", "lang", F.col("n_chars").alias("n"))
-    b = load(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("lang"), F.lit(1000).cast("bigint").alias("n"))
-    return J.merge_by_key(a, b, "doc_id", {"lang": "left", "n": "greatest"})
-
-
 @query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, coalesce(nullif(d.lang, ''), l.lang) AS lang, greatest(d.n, l.n) AS n FROM (SELECT doc_id, lang, n_chars AS n FROM documents) d FULL JOIN (SELECT doc_id, CASE quality WHEN 1 THEN 'good' ELSE 'bad' END AS lang, 1000::BIGINT AS n FROM labels) l ON d.doc_id = l.doc_id")
 def merge_with_precedence_all(spark: SparkSession, d: str) -> DataFrame:
-    """``merge_with_precedence`` of every document."""
+    """Documents and labels merged: the document's language first, the greater number."""
     a = load(spark, d, "documents").select("doc_id", "lang", F.col("n_chars").alias("n"))
     b = load(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("lang"), F.lit(1000).cast("bigint").alias("n"))
     return J.merge_by_key(a, b, "doc_id", {"lang": "left", "n": "greatest"})
@@ -276,13 +261,6 @@ def fetch_in_rank_order(spark: SparkSession, d: str) -> DataFrame:
     return J.in_order(ids, load(spark, d, "part").select("p_partkey", "p_name"), "p_partkey").select("rank", "p_partkey", "p_name")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT a.l_partkey AS s, b.l_partkey AS t FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey),
-r AS (SELECT t AS id, 1::BIGINT AS hops FROM e WHERE s = 1 UNION SELECT t, hops + 1 FROM r JOIN e ON s = id WHERE hops < 2) SELECT id, min(hops) AS hops FROM r GROUP BY 1""")
-def bounded_paths_1_2(spark: SparkSession, d: str) -> DataFrame:
-    """Parts that share an order with part 1, or with one that does: distinct ends and least hops. The third hop is in ``bounded_paths_1_3``."""
-    return G.reach_shared(load(spark, d, "lineitem"), "l_partkey", "l_orderkey", spark.createDataFrame([(1,)], "at bigint"), 2)
-
-
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT a.l_partkey AS s, b.l_partkey AS t FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey),
 r AS (SELECT t AS id, 1::BIGINT AS hops FROM e WHERE s = 1 UNION SELECT t, hops + 1 FROM r JOIN e ON s = id WHERE hops < 3) SELECT id, min(hops) AS hops FROM r GROUP BY 1""")
 def bounded_paths_1_3(spark: SparkSession, d: str) -> DataFrame:
