@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from lattice.operators import reports as R
-from lattice.sources import code, files, gitlog, manifests, notes, products, sessions, transcripts
+from lattice.sources import code, files, gitlog, manifests, notes, paged, products, sessions, transcripts
 from lattice.tools import Engine, match_people, web_search
 
 from .conftest import got
@@ -167,9 +167,9 @@ def test_paged_source(spark):
         page = int(cursor or 0)
         return [(f"{first}-{page}", last)], str(page + 1) if page < 1 else None
 
-    kind = products.paged_source("paged_test", "slug string, day string", fetch)
+    kind = paged.paged_source("paged_test", "slug string, day string", fetch)
     known = spark.createDataFrame([("2026-01-01-0",)], "slug string")
-    out = products.read_paged(spark, kind, "2026-01-01", "2026-01-10", 7, known)
+    out = paged.read_paged(spark, kind, "2026-01-01", "2026-01-10", 7, known)
     assert sorted(got(out)) == [("2026-01-01-1", "2026-01-07"), ("2026-01-08-0", "2026-01-10"), ("2026-01-08-1", "2026-01-10")]
 
 
