@@ -29,21 +29,17 @@ def _tree(e: Engine, a: argparse.Namespace):
     return files.read_tree(e.spark, _roots(a))
 
 
-def _sessions(e: Engine, a: argparse.Namespace) -> dict:
-    parsed = sessions.parse(sessions.read_lines(e.spark, a.root, a.project))
-    nodes = sessions.sessions(parsed)
-    actions = sessions.file_actions(parsed, nodes)
-    g = e.graph()
-    g.nodes["Session"] = nodes.unionByName(g.nodes["Session"].join(nodes.select("id"), "id", "left_anti"))
-    bare = actions.select(F.concat_ws("|", "project", "path").alias("id"), "path", "project").dropDuplicates(["id"])
-    g.nodes["File"] = g.nodes["File"].unionByName(bare.join(g.nodes["File"].select("id"), "id", "left_anti"), allowMissingColumns=True)
-    for action, df in sessions.session_edges(actions).items():
-        old = g.edges[("Session", action, "File")]
-        g.edges[("Session", action, "File")] = df.unionByName(old.join(df.select("src", "dst"), ["src", "dst"], "left_anti"))
-    g.edges[("Session", "IN_PROJECT", "Project")] = sessions.in_project(g.nodes["Session"], g.nodes["Project"])
-    e.index_sessions(sessions.summaries(parsed, nodes, actions))
-    e.save(g)
-    return rows(L.session_stats(e.graph()))
+def _sessions(e: Engine, a: argparse.Namespace) -> list[dict]:
+    return e.scan_sessions(sessions.read_lines(e.spark, a.root, a.project))
+
+
+def _watch(e: Engine, a: argparse.Namespace) -> dict:
+    q = e.watch(_roots(a), a.gap, a.once, a.today)
+    try:
+        q.awaitTermination()
+    except KeyboardInterrupt:
+        q.stop()
+    return rows(e.watched.read().agg(F.countDistinct("file").alias("files"), F.count("*").alias("chunks")))[0]
 
 
 def _xray(e: Engine, a: argparse.Namespace) -> dict:
@@ -108,12 +104,14 @@ COMMANDS: dict[str, tuple[str, tuple, Run]] = {
     "sessions": ("sessions of a project", (("project", {}), ("-n", {"type": int, "default": 20})), lambda e, a: rows(L.sessions_by_project(e.graph(), a.project, a.n))),
     "session-files": ("files of a session", (("session", {}),), lambda e, a: rows(L.files_in_session(e.graph(), a.session))),
     "file-sessions": ("sessions of a file", (("path", {}), ("-n", {"type": int, "default": 20})), lambda e, a: rows(L.sessions_for_file(e.graph(), a.path, a.n))),
-    "session-search": ("search of sessions", (("text", {}), ("-n", {"type": int, "default": 5}), ("--project", {})), lambda e, a: e.session_search(a.text, a.n, a.project)),
+    "session-search": ("search of sessions; --logs fills an empty index first", (("text", {}), ("-n", {"type": int, "default": 5}), ("--project", {}), ("--logs", {})), lambda e, a: e.session_search(a.text, a.n, a.project, sessions.read_lines(e.spark, a.logs) if a.logs else None)),
     "index-projects": ("chunks of code and documents", (("roots", {"nargs": "+"}),), lambda e, a: e.index_code(_tree(e, a))),
     "project-search": ("search of chunks", (("text", {}), ("-n", {"type": int, "default": 5}), ("--project", {}), ("--type", {}), ("--siblings", {"action": "store_true"})), lambda e, a: e.code_search(a.text, a.n, a.project, a.type, a.siblings)),
     "project-collections": ("indexed projects", (), lambda e, a: e.collections()),
     "project-delete": ("a project's chunks", (("project", {}),), lambda e, a: e.delete_collection(a.project)),
     "index-kb": ("notes into the index", (("roots", {"nargs": "+"}), ("--today", {"default": ""}), ("--force", {"action": "store_true"})), lambda e, a: e.index_notes(_tree(e, a), a.today, a.force)),
+    "watch": ("follow trees of notes until stopped", (("roots", {"nargs": "+"}), ("--gap", {"type": int, "default": 1500}), ("--once", {"action": "store_true"}), ("--today", {})), _watch),
+    "watch-search": ("full-text search of watched trees", (("text", {}), ("-n", {"type": int, "default": 5})), lambda e, a: e.watched_search(a.text, a.n)),
     "kb-search": ("search of notes", (("text", {}), ("-n", {"type": int, "default": 5}), ("--type", {}), ("--adjacency", {})), lambda e, a: e.notes_search(a.text, a.n, a.type, e.adjacency(a.adjacency) if a.adjacency else None)),
     "kb-stats": ("counts of notes", (), lambda e, a: e.notes_stats()),
     "index-videos": ("videos with subtitles, from JSON lines", (("path", {}), ("--topics", {"nargs": "*"})), _videos),

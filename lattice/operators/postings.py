@@ -8,16 +8,84 @@ of the query's terms, for which only those terms' buckets are read.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattice.operators.segments import Conflict, Segments, Snapshot
-from lattice.operators.text import bucket_of, inverted_index, query_terms, score_terms
+from lattice.operators.text import bucket_of, query_terms, score_terms
+from lattice.session import ship
 
 #: Attempts of a change whose count of documents another writer has overtaken.
 ATTEMPTS = 5
+#: Postings that are packed at once.
+ROWS = 200_000
+
+_TERM = re.compile("[a-z0-9]+")
+
+
+def _lists(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Postings (term, doc, tf and perhaps a change's number) as lists: a row for each term and change of the batch, in order."""
+    by = [c for c in b.schema.names if c not in ("doc", "tf")]
+    b = b.sort_by([(c, "ascending") for c in by])
+    new = np.zeros(b.num_rows, bool)
+    new[:1] = True
+    for c in by:
+        new[1:] |= pc.not_equal(b.column(c).slice(1), b.column(c).slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(new)
+    at = pa.array(np.append(first, b.num_rows).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(at, b.column(c)) for c in ("doc", "tf")]
+    return pa.record_batch([*(b.column(c).take(pa.array(first)) for c in by), *lists], [*by, "docs", "tfs"])
+
+
+def document_postings(docs: DataFrame) -> DataFrame:
+    """bucket, term, docs and tfs of documents (doc, text): lists of the postings of a batch of documents; nothing is shuffled. Terms are those of ``text.terms``."""
+    kind = docs.schema["doc"].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, terms, counts = [], [], []
+
+            def held(of: pa.Array = b.column("doc"), rows: list = rows, terms: list = terms, counts: list = counts) -> pa.RecordBatch:
+                out = _lists(pa.record_batch([pa.array(terms, pa.string()), of.take(pa.array(rows, pa.int32())), pa.array(counts, pa.int32())], ["term", "doc", "tf"]))
+                rows.clear(), terms.clear(), counts.clear()
+                return out
+
+            for k, text in enumerate(b.column("text")):
+                found = Counter(_TERM.findall(text.as_py() or ""))
+                rows.extend([k] * len(found))
+                terms.extend(found)
+                counts.extend(found.values())
+                if len(rows) >= ROWS:
+                    yield held()
+            if rows:
+                yield held()
+
+    ship(docs.sparkSession)
+    # letters are lowered where the queries' are
+    counted = docs.select("doc", F.lower("text").alias("text")).mapInArrow(run, f"term string, docs array<{kind}>, tfs array<int>")
+    return counted.select(bucket_of(F.col("term")).alias("bucket"), "term", "docs", "tfs")
+
+
+def unpacked(lists: DataFrame) -> DataFrame:
+    """A row for each posting: doc and tf in place of the lists."""
+    rest = [c for c in lists.columns if c not in ("docs", "tfs")]
+    return lists.select(*rest, F.explode(F.arrays_zip("docs", "tfs")).alias("p")).select(*rest, F.col("p.docs").alias("doc"), F.col("p.tfs").cast("bigint").alias("tf"))
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """Postings as lists again, batch by batch, so that no list is longer than a batch."""
+    rest = [c for c in rows.columns if c not in ("doc", "tf")]
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in rest)
+    own = rows.select(*rest, "doc", F.col("tf").cast("int").alias("tf"))
+    return own.mapInArrow(lambda batches: (_lists(b) for b in batches if b.num_rows), f"{kinds}, docs array<{rows.schema['doc'].dataType.simpleString()}>, tfs array<int>")
 
 
 @dataclass
@@ -27,7 +95,7 @@ class Postings:
 
     @property
     def segments(self) -> Segments:
-        return Segments(self.spark, self.root, "doc", {"postings": ["bucket"], "docs": []})
+        return Segments(self.spark, self.root, "doc", {"postings": ["bucket"], "docs": []}, order={"postings": ["term"]}, unpack={"postings": unpacked}, pack={"postings": packed})
 
     @staticmethod
     def count(s: Snapshot) -> int:
@@ -45,7 +113,7 @@ class Postings:
             keys = keys.distinct()
             hidden = 0 if known is None else known.join(keys, "doc", "left_semi").count()
             added = 0 if docs is None else keys.count()
-            frames = {} if docs is None else {"postings": inverted_index(docs, "doc", "text"), "docs": keys}
+            frames = {} if docs is None else {"postings": document_postings(docs), "docs": keys}
             try:
                 seg.write(frames, keys, token=token, meta={"documents": self.count(s) - hidden + added}, base=s)
                 return
@@ -61,8 +129,11 @@ class Postings:
     def delete(self, keys: DataFrame, *, key: str = "id", token: str | None = None) -> None:
         self._change(None, keys.select(F.col(key).alias("doc")).where("doc IS NOT NULL"), token)
 
-    def compact(self) -> None:
+    def compact(self, keep: int | None = None) -> None:
+        """Merges segments by tiers; with ``keep`` also deletes what the last ``keep`` versions do not name, which no reader or writer may be using."""
         self.segments.compact()
+        if keep is not None:
+            self.segments.vacuum(keep)
 
     def of(self, terms: list[str], s: Snapshot | None = None) -> DataFrame | None:
         """term, doc and tf of the live documents that hold one of ``terms``."""

@@ -98,13 +98,17 @@ class Snapshot:
 
 @dataclass
 class Segments:
-    """A table at ``root``: ``parts`` gives each part's partition columns; all parts have the column ``key``."""
+    """A table at ``root``: ``parts`` gives each part's partition columns, ``order`` the columns that its files are sorted by; all parts have the column ``key``."""
 
     spark: SparkSession
     root: str
     key: str
     parts: Mapping[str, Sequence[str]]
     fanout: int = FANOUT
+    order: Mapping[str, Sequence[str]] = field(default_factory=dict)
+    #: for parts whose stored rows hold several keys: stored rows to rows with a key, and back, keeping other columns
+    unpack: Mapping[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
+    pack: Mapping[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
 
     @property
     def log(self) -> Log:
@@ -127,6 +131,8 @@ class Segments:
         name = f"{part}/{uuid.uuid4().hex}"
         by = list(self.parts[part])
         out = df.hint("rebalance", *by) if by else df
+        if order := self.order.get(part):
+            out = out.sortWithinPartitions(*by, *order)
         out.write.partitionBy(*by).parquet(f"{self.root}/{name}")
         return name, self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}").count()
 
@@ -188,16 +194,18 @@ class Segments:
         return self.spark.createDataFrame([], merged) if out is None else out
 
     def read(self, part: str, only: Callable[[DataFrame], DataFrame] | None = None, s: Snapshot | None = None) -> DataFrame | None:
-        """The live rows of a part, or None if it was never written. ``only`` filters before tombstones are looked up, so that it reaches the scans."""
+        """The live rows of a part, or None if it was never written. ``only`` filters stored rows before tombstones are looked up, so that it reaches the scans."""
         s = s or self.snapshot()
         rows = self._rows(s, part)
         if rows is None:
             return None
         rows = rows if only is None else only(rows)
+        rows = self.unpack[part](rows) if part in self.unpack else rows
         hidden = self.hidden(s)
-        if hidden is not None:
-            rows = rows.join(hidden, self.key, "left").where(F.col("__hidden").isNull() | (F.col("__hidden") <= F.col(_SEQ))).drop("__hidden")
-        return rows.drop(_SEQ)
+        return (rows if hidden is None else self._live(rows, hidden)).drop(_SEQ)
+
+    def _live(self, rows: DataFrame, hidden: DataFrame) -> DataFrame:
+        return rows.join(hidden, self.key, "left").where(F.col("__hidden").isNull() | (F.col("__hidden") <= F.col(_SEQ))).drop("__hidden")
 
     def compact(self) -> Snapshot:
         """Merges runs of ``fanout`` neighbouring segments of one level, lowest level first, until there is none.
@@ -226,7 +234,8 @@ class Segments:
         for part in {p for x in own for p in x.parts}:
             rows = self._rows(some, part)
             if hidden is not None:
-                rows = rows.join(hidden, self.key, "left").where(F.col("__hidden").isNull() | (F.col("__hidden") <= F.col(_SEQ))).drop("__hidden")
+                rows = self._live(self.unpack[part](rows) if part in self.unpack else rows, hidden)
+                rows = self.pack[part](rows) if part in self.pack else rows
             parts[part] = self._store(part, rows)
         gone, below = None, self.hidden(some)
         if first and below is not None:

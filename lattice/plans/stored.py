@@ -76,7 +76,7 @@ def _postings(spark: SparkSession, d: str) -> Postings:
     p = Postings(spark, scratch(spark, "postings"))
     for k in range(4):
         p.add(docs.where(f"pmod(doc_id, 4) = {k}"), key="doc_id")
-    p.compact()
+    p.compact(keep=1)
     return p
 
 

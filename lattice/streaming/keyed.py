@@ -10,7 +10,7 @@ what changed, and a batch that is run again after a failure is not written twice
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -166,12 +166,12 @@ class ChunkIndex:
     def postings(self) -> Postings:
         return Postings(self.spark, f"{self.root}/postings")
 
-    def apply(self, changes: DataFrame, token: str | None = None) -> None:
-        """One batch of change rows: a segment of each table, and tombstones for what it takes the place of."""
+    def apply(self, changes: DataFrame, token: str | None = None) -> bool:
+        """One batch of change rows: a segment of each table, and tombstones for what it takes the place of. Whether there was a change."""
         changes = changes.persist()
         try:
             if changes.isEmpty():
-                return
+                return False
             new = changes.where(F.col("change") == "upsert").drop("change")
             gone = changes.where(F.col("change") == "delete").select("chunk_id")
             self.chunks.write({"chunks": new}, changes.select("chunk_id"), token=token)
@@ -179,6 +179,7 @@ class ChunkIndex:
             self.postings.delete(gone, key="chunk_id", token=None if token is None else f"{token}-gone")
             self.chunks.compact()
             self.postings.compact()
+            return True
         finally:
             changes.unpersist()
 
@@ -191,11 +192,12 @@ class ChunkIndex:
         return self.postings.search(query, n, key="chunk_id").join(self.read(), "chunk_id").orderBy(F.desc("score"), "chunk_id")
 
 
-def follow(changes: DataFrame, index: ChunkIndex, checkpoint: str, *, name: str = "chunks", once: bool = False, every: str = "1 second") -> StreamingQuery:
-    """Keeps ``index`` up to date with a stream of change rows; a restart goes on from the checkpoint."""
+def follow(changes: DataFrame, index: ChunkIndex, checkpoint: str, *, name: str = "chunks", once: bool = False, every: str = "1 second", then: Callable[[], object] | None = None) -> StreamingQuery:
+    """Keeps ``index`` up to date with a stream of change rows, and calls ``then`` after each batch that changed it; a restart goes on from the checkpoint."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        index.apply(batch, f"{name}:{number}")
+        if index.apply(batch, f"{name}:{number}") and then is not None:
+            then()
 
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()

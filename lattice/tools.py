@@ -11,9 +11,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from lattice import cypher, schema
 from lattice.functions import strings as S
+from lattice.operators import chunking as C
 from lattice.operators import library as L
 from lattice.operators import profiles as M
 from lattice.operators import reports as R
@@ -22,7 +24,10 @@ from lattice.operators import vectors as V
 from lattice.operators.dml import Store, append_edges, clear_projects, number_edges, upsert_counts
 from lattice.operators.graph import Graph, neighbours
 from lattice.operators.joins import missing, related_by_tag, with_siblings
-from lattice.sources import code, files, gitlog, manifests, notes
+from lattice.operators.segments import Segments
+from lattice.sources import code, files, gitlog, manifests, notes, sessions
+from lattice.streaming.keyed import ChunkIndex, follow, keyed_changes, with_text
+from lattice.streaming.tree import tree_changes
 
 #: Lengths of texts in results, and the expansion's seeds.
 SNIPPET, CODE_SNIPPET, CONTEXT, FETCHED = 300, 500, 1000, 8000
@@ -168,27 +173,46 @@ class Engine:
         return f.select(F.explode("edges").alias("e")).select(F.col("e.source").alias("src"), F.col("e.target").alias("dst"), "e.type")
 
     # --- code chunks
+    @property
+    def _chunks(self) -> Segments:
+        return Segments(self.spark, f"{self.root}/code_chunks", "uid", {"chunks": []})
+
+    def chunks(self) -> DataFrame | None:
+        """The live chunks of all projects, or None before the first."""
+        return self._chunks.read("chunks")
+
     def index_code(self, tree: DataFrame) -> dict:
-        """Chunks of code and documents of the tree's projects, in place of those projects' old ones."""
+        """Brings the chunks of the tree's projects up to date: files that are new or changed are cut and embedded, those that are gone leave.
+
+        What is written grows with what changed. Counts of all live chunks.
+        """
         own = tree.withColumn("language", files.language(F.col("path"), documents=True)).where(F.col("language").isNotNull() & files.scannable(F.col("path")) & ~S.looks_binary(F.col("text")))
-        own = own.withColumn("file_id", F.concat_ws("|", "project", "path"))
-        parts = X.chunks(own, "file_id", "text").join(own.select("file_id", "project", "path", "language"), "file_id")
-        kind = F.when(F.col("language") == "markdown", "doc").otherwise("code")
-        rel = parts.select(F.concat("path", F.lit("::chunk_"), F.col("chunk_index").cast("string")).alias("id"), "project", F.col("path").alias("file"), "language", kind.alias("chunk_type"), "chunk_index", "total_chunks", "text")
-        new = X.embed(rel, "text")
-        if self.store.version("chunks"):
-            new = missing(self.store.read("chunks"), new, ["project"]).unionByName(new)
-        self.store.write("chunks", new)
-        c = self.store.read("chunks")
-        return rows(c.agg(F.countDistinct("project", "file").alias("files"), F.count("*").alias("chunks"), F.count_if(F.col("chunk_type") == "code").alias("code_chunks"), F.count_if(F.col("chunk_type") == "doc").alias("doc_chunks")))[0]
+        own = own.withColumn("digest", F.sha2("text", 256))
+        known, new = self.chunks(), own
+        gone: DataFrame | None = None
+        if known is not None:
+            old = known.select("uid", "project", F.col("file").alias("path"), "digest")
+            # a file whose chunks lie there with its digest is left alone
+            new = own.join(old.select("project", "path", "digest"), ["project", "path", "digest"], "left_anti")
+            gone = old.join(tree.select("project").distinct(), "project", "left_semi").join(own.select("project", "path", "digest"), ["project", "path", "digest"], "left_anti").select("uid")
+        kind = F.when(F.col("language") == "markdown", C.MARKDOWN).otherwise(C.CODE)
+        parts = C.chunked(new.select("project", "path", "language", "digest", "text"), "text", kind)
+        rel = parts.select(
+            F.concat_ws("|", "project", F.col("digest"), "path", F.col("raw_index").cast("string")).alias("uid"), F.concat("path", F.lit("::chunk_"), F.col("raw_index").cast("string")).alias("id"), "project", F.col("path").alias("file"), "language", "digest",
+            F.when(F.col("language") == "markdown", "doc").otherwise("code").alias("chunk_type"), F.col("raw_index").cast("bigint").alias("chunk_index"), F.col("total").cast("bigint").alias("total_chunks"), "heading", "start_line", "end_line", "text",
+        )
+        self._chunks.write({"chunks": X.embed(rel, "text")}, gone)
+        self._chunks.compact()
+        return rows(self.chunks().agg(F.countDistinct("project", "file").alias("files"), F.count("*").alias("chunks"), F.count_if(F.col("chunk_type") == "code").alias("code_chunks"), F.count_if(F.col("chunk_type") == "doc").alias("doc_chunks")))[0]
 
     def code_search(self, query: str, n: int = 5, project: str | None = None, chunk_type: str | None = None, siblings: bool = False, bootstrap: DataFrame | None = None) -> list[dict]:
         """The nearest chunks of one project or all; an empty index is filled from ``bootstrap`` first."""
-        if not self.store.version("chunks"):
+        c = self.chunks()
+        if c is None:
             if bootstrap is None:
                 return []
             self.index_code(bootstrap)
-        c = self.store.read("chunks")
+            c = self.chunks()
         where = F.lit(True)
         if project is not None:
             where = where & (F.col("project") == project)
@@ -203,20 +227,63 @@ class Engine:
         return rows(out.orderBy(F.desc("relevance"), "id"))
 
     def collections(self) -> list[dict]:
-        return rows(self.store.read("chunks").groupBy("project").agg(F.count("*").alias("chunks"), F.countDistinct("file").alias("files")).orderBy("project"))
+        c = self.chunks()
+        return [] if c is None else rows(c.groupBy("project").agg(F.count("*").alias("chunks"), F.countDistinct("file").alias("files")).orderBy("project"))
 
     def delete_collection(self, project: str) -> bool:
-        c = self.store.read("chunks")
-        found = not c.where(F.col("project") == project).isEmpty()
+        c = self.chunks()
+        gone = None if c is None else c.where(F.col("project") == project).select("uid")
+        found = gone is not None and not gone.isEmpty()
         if found:
-            self.store.write("chunks", c.where(F.col("project") != project))
+            self._chunks.delete(gone)
         return found
 
+    # --- watched trees
+    @property
+    def watched(self) -> ChunkIndex:
+        return ChunkIndex(self.spark, f"{self.root}/watched")
+
+    def watch(self, roots: Mapping[str, str], gap: int = 1500, once: bool = False, today: str | None = None) -> StreamingQuery:
+        """Follows trees of notes: their chunks and postings, and with ``today`` the note index too; a restart goes on from where it stopped.
+
+        ``gap`` is the quiet time in milliseconds after which a file's last change counts; with ``once`` what has changed since is done at once.
+        """
+        roots = dict(roots)
+        changes = keyed_changes(with_text(tree_changes(self.spark, roots, f"{self.root}/watch/listings"), roots), gap=0 if once else gap)
+        then = None if today is None else lambda: self.index_notes(files.read_tree(self.spark, roots, "*.md"), today)
+        return follow(changes, self.watched, f"{self.root}/watch/checkpoint", name="watch", once=once, then=then)
+
+    def watched_search(self, query: str, n: int = 5) -> list[dict]:
+        found = self.watched.search(query, n)
+        return rows(found.select("file", "heading", "chunk_id", F.bround("score", 4).alias("relevance"), F.substring("text", 1, SNIPPET).alias("snippet")).orderBy(F.desc("relevance"), "chunk_id"))
+
     # --- sessions
     def index_sessions(self, summaries: DataFrame) -> None:
         self.store.merge("sessions", X.embed(summaries, "summary"), ["session_id"])
 
-    def session_search(self, query: str, n: int = 5, project: str | None = None) -> list[dict]:
+    def scan_sessions(self, lines: DataFrame) -> list[dict]:
+        """Chat logs into the graph and the session index; sessions that were there before stay."""
+        parsed = sessions.parse(lines)
+        nodes = sessions.sessions(parsed)
+        actions = sessions.file_actions(parsed, nodes)
+        g = self.graph()
+        g.nodes["Session"] = nodes.unionByName(g.nodes["Session"].join(nodes.select("id"), "id", "left_anti"))
+        bare = actions.select(F.concat_ws("|", "project", "path").alias("id"), "path", "project").dropDuplicates(["id"])
+        g.nodes["File"] = g.nodes["File"].unionByName(bare.join(g.nodes["File"].select("id"), "id", "left_anti"), allowMissingColumns=True)
+        for action, df in sessions.session_edges(actions).items():
+            old = g.edges[("Session", action, "File")]
+            g.edges[("Session", action, "File")] = df.unionByName(old.join(df.select("src", "dst"), ["src", "dst"], "left_anti"))
+        g.edges[("Session", "IN_PROJECT", "Project")] = sessions.in_project(g.nodes["Session"], g.nodes["Project"])
+        self.index_sessions(sessions.summaries(parsed, nodes, actions))
+        self.save(g)
+        return rows(L.session_stats(self.graph()))
+
+    def session_search(self, query: str, n: int = 5, project: str | None = None, bootstrap: DataFrame | None = None) -> list[dict]:
+        """The nearest sessions; an index that is empty is filled from ``bootstrap`` (lines of chat logs) first."""
+        if not self.store.version("sessions"):
+            if bootstrap is None:
+                return []
+            self.scan_sessions(bootstrap)
         s = self.store.read("sessions")
         where = None if project is None else F.contains(F.lower("project_name"), F.lit(project.lower()))
         hits = V.knn(s, self.embedder(query), n, key="session_id", where=where)

@@ -53,3 +53,29 @@ def test_commands(engine, capsys, tmp_path):
     assert len(COMMANDS) > 30
     with pytest.raises(SystemExit):
         main(["nothing"], engine)
+
+
+def test_watch_command_follows_a_tree(spark, tmp_path, capsys):
+    root = tmp_path / "notes"
+    root.mkdir()
+    (root / "a.md").write_text("# Alpha\nabout cats")
+    e = Engine(spark, str(tmp_path / "db"))
+    assert main(["watch", str(root), "--once"], e) == 0 and json.loads(capsys.readouterr().out) == {"files": 1, "chunks": 1}
+    (root / "b.md").write_text("# Beta\nabout dogs")
+    (root / "a.md").unlink()
+    main(["watch", str(root), "--once"], e)
+    capsys.readouterr()
+    main(["watch-search", "dogs cats"], e)
+    assert [json.loads(x)["heading"] for x in capsys.readouterr().out.splitlines()] == ["Beta"]
+
+
+def test_only_changed_files_are_cut_again(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"))
+    tree = lambda *rows: spark.createDataFrame(list(rows), "project STRING, path STRING, text STRING")
+    a, b, m = ("p", "a.py", "def a():\n    return 1\n"), ("p", "b.py", "def b():\n    return 2\n"), ("q", "m.md", "# One\ntext\n" + "x " * 200 + "\n## Two\nmore")
+    assert e.index_code(tree(a, b, m)) == {"files": 3, "chunks": 4, "code_chunks": 2, "doc_chunks": 2}
+    before = e._chunks.rows("chunks")
+    assert e.index_code(tree(a, b)) == {"files": 3, "chunks": 4, "code_chunks": 2, "doc_chunks": 2} and e._chunks.rows("chunks") == before
+    assert e.index_code(tree(a, ("p", "c.py", "def c():\n    return 3\n"))) == {"files": 3, "chunks": 4, "code_chunks": 2, "doc_chunks": 2}
+    assert e._chunks.rows("chunks") - before == 1 and sorted(r["file"] for r in e.chunks().collect()) == ["a.py", "c.py", "m.md", "m.md"]
+    assert {r["id"]: r["heading"] for r in e.chunks().where("project = 'q'").collect()} == {"m.md::chunk_0": "One", "m.md::chunk_1": "One > Two"}
