@@ -111,11 +111,12 @@ class Postings:
                 return
             known = seg.read("docs", s=s)
             keys = keys.distinct()
-            hidden = 0 if known is None else known.join(keys, "doc", "left_semi").count()
-            added = 0 if docs is None else keys.count()
+            # only what is there is hidden: a merge of new documents alone copies their lists
+            gone = keys.limit(0) if known is None else known.join(keys, "doc", "left_semi")
+            hidden, added = gone.count(), 0 if docs is None else keys.count()
             frames = {} if docs is None else {"postings": document_postings(docs), "docs": keys}
             try:
-                seg.write(frames, keys, token=token, meta={"documents": self.count(s) - hidden + added}, base=s)
+                seg.write(frames, gone if hidden else None, token=token, meta={"documents": self.count(s) - hidden + added}, base=s)
                 return
             except Conflict:
                 if attempt == ATTEMPTS - 1:

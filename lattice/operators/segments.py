@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 
 #: Segments of a level that are merged into one of the next, and names of past changes that are remembered.
 FANOUT, TOKENS = 4, 256
+#: Hidden keys up to which they are sent to every task.
+BROADCAST = 200_000
 _SEQ = "__seq"
 
 
@@ -85,6 +87,7 @@ class Segment:
     level: int
     parts: dict[str, tuple[str, int]]
     gone: str | None = None
+    gone_rows: int = 0
 
 
 @dataclass(frozen=True)
@@ -118,7 +121,7 @@ class Segments:
         version, content = self.log.latest()
         if content is None:
             return Snapshot()
-        segments = tuple(Segment(s["low"], s["high"], s["level"], {k: tuple(v) for k, v in s["parts"].items()}, s["gone"]) for s in content["segments"])
+        segments = tuple(Segment(s["low"], s["high"], s["level"], {k: tuple(v) for k, v in s["parts"].items()}, s["gone"], s["gone_rows"]) for s in content["segments"])
         return Snapshot(version, content["sequence"], segments, tuple(content["tokens"]), content["meta"])
 
     def _commit(self, s: Snapshot) -> Snapshot:
@@ -149,16 +152,18 @@ class Segments:
         # rows carry their change's number; it is fixed when the change is committed, by the segment
         stored = {part: self._store(part, df) for part, df in frames.items()}
         meta = {**(meta or {}), **{f"schema:{part}": df.schema.json() for part, df in frames.items()}}
-        hidden = None
+        hidden, hides = None, 0
         if gone is not None:
             hidden = f"gone/{stamp}"
             gone.select(self.key).distinct().write.parquet(f"{self.root}/{hidden}")
+            hides = self.spark.read.parquet(f"{self.root}/{hidden}").count()
+            hidden = hidden if hides else None
         while True:
             if token is not None and token in s.tokens:
                 return s
             n = s.sequence + 1
             tokens = (*s.tokens, token) if token is not None else s.tokens
-            new = replace(s, sequence=n, segments=(*s.segments, Segment(n, n, 0, stored, hidden)), tokens=tokens, meta={**s.meta, **meta})
+            new = replace(s, sequence=n, segments=(*s.segments, Segment(n, n, 0, stored, hidden, hides)), tokens=tokens, meta={**s.meta, **meta})
             try:
                 return self._commit(new)
             except Conflict:
@@ -177,7 +182,10 @@ class Segments:
                 part = self.spark.read.parquet(f"{self.root}/{seg.gone}")
                 part = part if seg.level else part.withColumn(_SEQ, F.lit(seg.high).cast("bigint"))
                 out = part if out is None else out.unionByName(part)
-        return None if out is None else out.groupBy(self.key).agg(F.max(_SEQ).cast("bigint").alias("__hidden"))
+        if out is None:
+            return None
+        out = out.groupBy(self.key).agg(F.max(_SEQ).cast("bigint").alias("__hidden"))
+        return F.broadcast(out) if sum(x.gone_rows for x in s.segments) <= BROADCAST else out
 
     def _rows(self, s: Snapshot, part: str) -> DataFrame | None:
         if f"schema:{part}" not in s.meta:
@@ -241,7 +249,7 @@ class Segments:
         if first and below is not None:
             gone = f"gone/{uuid.uuid4().hex}"
             below.withColumnRenamed("__hidden", _SEQ).write.parquet(f"{self.root}/{gone}")
-        merged = Segment(own[0].low, own[-1].high, own[0].level + 1, parts, gone)
+        merged = Segment(own[0].low, own[-1].high, own[0].level + 1, parts, gone, sum(x.gone_rows for x in own) if gone else 0)
         while True:
             try:
                 return self._commit(replace(s, segments=(*s.segments[:first], merged, *s.segments[end:])))
