@@ -1,12 +1,13 @@
 """Keyed upserts over frames, and a store that swaps versions.
 
-Plain Parquet has no MERGE: the new state is written to a version of its own and a pointer swapped
-to it, so that a reader never sees half a change and a plan may read what it replaces.
+Plain Parquet has no MERGE: the new state is written to a version of its own, and a numbered log, whose
+files are created only where they are absent, names it, so that a reader never sees half a change, a
+plan may read what it replaces, and of two merges at one version one is done again on what the other wrote.
 """
 
 from __future__ import annotations
 
-import json
+import time
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -18,6 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattice.operators.joins import dedupe_by_priority
+from lattice.operators.segments import PAUSE, Conflict, Log
+
+#: Attempts of a merge that other writers overtake.
+ATTEMPTS = 5
 
 
 def last_per_key(df: DataFrame, key: Sequence[str], sequence: Sequence[Column] = ()) -> DataFrame:
@@ -88,7 +93,7 @@ def classify(now: DataFrame, before: DataFrame, key: str, digest: str, force: bo
 
 @dataclass
 class Store:
-    """Named tables under ``root``: each change is a new version, the pointer file its commit."""
+    """Named tables under ``root``: each change is a new version, its line in the log the commit."""
 
     spark: SparkSession
     root: str
@@ -98,13 +103,13 @@ class Store:
             return fs.FileSystem.from_uri(self.root)
         return fs.LocalFileSystem(), self.root
 
+    def _log(self, name: str) -> Log:
+        return Log(self.spark, f"{self.root}/{name}/_log")
+
     def version(self, name: str) -> str | None:
-        where, base = self._fs()
-        path = f"{base}/{name}/_current.json"
-        if where.get_file_info(path).type == fs.FileType.NotFound:
-            return None
-        with where.open_input_stream(path) as f:
-            return json.loads(f.read())["version"]
+        """The folder of the table's newest version."""
+        content = self._log(name).latest()[1]
+        return None if content is None else content["version"]
 
     def names(self) -> list[str]:
         where, base = self._fs()
@@ -114,27 +119,42 @@ class Store:
         return sorted(n for n in found if self.version(n))
 
     def read(self, name: str, ddl: str | None = None) -> DataFrame:
-        v = self.version(name)
-        if v is None:
+        return self._read(name, self.version(name), ddl)
+
+    def _read(self, name: str, version: str | None, ddl: str | None) -> DataFrame:
+        if version is None:
             if ddl is None:
                 raise AnalysisException(f"no table {name} in {self.root}")
             return self.spark.createDataFrame([], ddl)
-        return self.spark.read.parquet(f"{self.root}/{name}/{v}")
+        return self.spark.read.parquet(f"{self.root}/{name}/{version}")
 
-    def write(self, name: str, df: DataFrame, partition_by: Sequence[str] = ()) -> None:
+    def write(self, name: str, df: DataFrame, partition_by: Sequence[str] = (), base: int | None = None) -> None:
+        """The table's new state. With ``base``, the number of the version that it was made from, raises ``Conflict`` if there is a newer one."""
         v = f"v-{uuid.uuid4().hex}"
         df.write.partitionBy(*partition_by).parquet(f"{self.root}/{name}/{v}")
-        where, base = self._fs()
-        new = f"{base}/{name}/_current.{v}"
-        with where.open_output_stream(new) as f:
-            f.write(json.dumps({"version": v}).encode())
-        where.move(new, f"{base}/{name}/_current.json")
+        log = self._log(name)
+        while True:
+            try:
+                log.put((log.latest()[0] if base is None else base) + 1, {"version": v})
+                return
+            except Conflict:
+                if base is not None:
+                    raise
+                time.sleep(PAUSE)
 
     def merge(self, name: str, new: DataFrame, key: Sequence[str]) -> DataFrame:
-        """Upsert; returns the counts of created and matched keys, taken before the change."""
-        old = self.read(name, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema))
-        counts = upsert_counts(old, new, key).collect()
-        self.write(name, upsert(old, new, key))
+        """Upsert; returns the counts of created and matched keys, taken before the change. Done again if another writer comes between."""
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema)
+        for attempt in range(ATTEMPTS):
+            number, content = self._log(name).latest()
+            old = self._read(name, None if content is None else content["version"], ddl)
+            counts = upsert_counts(old, new, key).collect()
+            try:
+                self.write(name, upsert(old, new, key), base=number)
+                break
+            except Conflict:
+                if attempt == ATTEMPTS - 1:
+                    raise
         return self.spark.createDataFrame(counts, "created bigint, matched bigint")
 
     def delete(self, name: str) -> bool:

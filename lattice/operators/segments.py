@@ -11,6 +11,7 @@ logarithmic number of times; readers keep the version that they started from unt
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
@@ -21,6 +22,8 @@ from pyspark.sql import types as T
 
 #: Segments of a level that are merged into one of the next, and names of past changes that are remembered.
 FANOUT, TOKENS = 4, 256
+#: Seconds after which a version that is not complete counts as given up, and the wait between attempts at a number that another writer has.
+DEAD, PAUSE = 60, 0.1
 #: Hidden keys up to which they are sent to every task.
 BROADCAST = 200_000
 _SEQ = "__seq"
@@ -69,13 +72,19 @@ class Log:
             out.close()
 
     def latest(self) -> tuple[int, dict | None]:
-        """The newest complete version; one that is being written is not there yet."""
+        """(number, content) of the newest complete version.
+
+        One that is being written is not there yet, and its number cannot be put again; after DEAD seconds its
+        writer counts as lost, and the number as used up.
+        """
+        used = 0
         for v in reversed(self.versions()):
             try:
-                return v, self.read(v)
+                return max(v, used), self.read(v)
             except json.JSONDecodeError:
-                continue
-        return 0, None
+                if time.time() - self.fs.getFileStatus(self._at(v)).getModificationTime() / 1000 > DEAD:
+                    used = max(used, v)
+        return used, None
 
 
 @dataclass(frozen=True)
@@ -120,7 +129,7 @@ class Segments:
     def snapshot(self) -> Snapshot:
         version, content = self.log.latest()
         if content is None:
-            return Snapshot()
+            return Snapshot(version)
         segments = tuple(Segment(s["low"], s["high"], s["level"], {k: tuple(v) for k, v in s["parts"].items()}, s["gone"], s["gone_rows"]) for s in content["segments"])
         return Snapshot(version, content["sequence"], segments, tuple(content["tokens"]), content["meta"])
 
@@ -169,6 +178,7 @@ class Segments:
             except Conflict:
                 if base is not None:
                     raise
+                time.sleep(PAUSE)
                 s = self.snapshot()
 
     def delete(self, keys: DataFrame, *, token: str | None = None) -> Snapshot:
@@ -265,6 +275,13 @@ class Segments:
         """Rows of a part on disk, hidden ones included: from the log alone."""
         return sum(x.parts[part][1] for x in (s or self.snapshot()).segments if part in x.parts)
 
+    @staticmethod
+    def _listed(log: Log, version: int) -> list[dict]:
+        try:
+            return log.read(version)["segments"]
+        except json.JSONDecodeError:
+            return []
+
     def vacuum(self, keep: int = 10) -> int:
         """Deletes the log's versions but the last ``keep``, and folders that none of these names; the number of folders.
 
@@ -272,7 +289,7 @@ class Segments:
         """
         log = self.log
         versions = log.versions()
-        named = {n for v in versions[-keep:] for x in log.read(v)["segments"] for n in [*(p[0] for p in x["parts"].values()), x["gone"]] if n}
+        named = {n for v in versions[-keep:] for x in self._listed(log, v) for n in [*(p[0] for p in x["parts"].values()), x["gone"]] if n}
         path = self.spark._jvm.org.apache.hadoop.fs.Path
         dropped = 0
         for part in (*self.parts, "gone"):

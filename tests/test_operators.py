@@ -11,6 +11,7 @@ from lattice.operators import dml as D
 from lattice.operators import joins as J
 from lattice.operators import text as X
 from lattice.operators import vectors as V
+from lattice.operators.segments import Conflict
 
 from .conftest import got
 
@@ -158,3 +159,25 @@ def test_tfidf_filters_before_the_limit(spark):
     assert X.tfidf(d, "(only)", 5).count() == 0
     h = X.hybrid(X.embed(d, "text"), "zebra", X.hash_embedding("blue"), 2).collect()
     assert len(h) == 2 and h[0]["id"] == 2  # no word matches: the vector list alone
+
+
+def test_two_merges_at_one_version_are_both_kept(spark, tmp_path):
+    s = D.Store(spark, str(tmp_path / "s"))
+    rows = lambda *k: spark.createDataFrame([(x, "v") for x in k], "id bigint, v string")
+    s.write("t", rows(1))
+    with pytest.raises(Conflict):
+        s.write("t", rows(9), base=0)
+    raced, real = [], D.upsert
+
+    def upsert(old, new, key):
+        if not raced:
+            raced.append(1)
+            D.Store(spark, str(tmp_path / "s")).merge("t", rows(2), ["id"])
+        return real(old, new, key)
+
+    D.upsert = upsert
+    try:
+        counts = s.merge("t", rows(1, 3), ["id"]).first()
+    finally:
+        D.upsert = real
+    assert sorted(r["id"] for r in s.read("t").collect()) == [1, 2, 3] and (counts["created"], counts["matched"]) == (1, 1)

@@ -98,3 +98,18 @@ def test_filters_reach_the_partitions(spark, tmp_path):
     t.delete(spark.createDataFrame([(4,)], "id BIGINT"))
     some = t.read("rows", lambda df: df.where("b = 1"))
     assert {r["id"] for r in some.collect()} == {1, 7} and "PartitionFilters: [isnotnull(b" in some._jdf.queryExecution().toString()
+
+
+def test_a_writer_that_died_while_it_committed_blocks_no_one(spark, tmp_path, monkeypatch):
+    t = table(spark, tmp_path / "t")
+    t.write(frames(spark, [(1, "a")]))
+    broken = tmp_path / "t" / "_log" / f"{2:012d}.json"
+    broken.write_text('{"sequence"')
+    # as long as it may still be at work its number is its own, and the last complete version is what there is
+    base = t.snapshot()
+    assert base.version == 1
+    with pytest.raises(Conflict):
+        t.write(frames(spark, [(2, "b")]), base=base)
+    monkeypatch.setattr("lattice.operators.segments.DEAD", -1)
+    t.write(frames(spark, [(2, "b")]))
+    assert t.snapshot().version == 3 and live(t) == {1: "a", 2: "b"} and t.vacuum(keep=2) >= 0 and live(t) == {1: "a", 2: "b"}
