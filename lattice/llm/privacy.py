@@ -170,11 +170,14 @@ def _everywhere(texts: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
             yield from ((False, t, n) for t, n in own.items())
             yield from ((True, t, n) for t, n in general.items())
 
-        for text in _texts(batches):
-            spans = base_spans(text)
-            found = Counter(w[2] for w in words_outside(text, spans)) if spans else Counter(_WORD.findall(text.lower()) if text.isascii() else [w.lower() for w in _WORD.findall(text)])
+        for b in batches:
+            found: Counter[str] = Counter()
+            for text in _texts([b]):
+                spans = base_spans(text)
+                found.update([w[2] for w in words_outside(text, spans)] if spans else _lowered(text))
+            total += found.total()
+            # a batch's distinct words, not each text's, are looked up
             for t, n in found.items():
-                total += n
                 if wanted is None or t in wanted:
                     own[t] += n
                 if heads is None or t[:KEPT] in heads:
@@ -231,13 +234,18 @@ def disclosing_terms(docs: DataFrame, *, text: str = "text") -> DataFrame:
 def all_spans(text: str, terms: Mapping[str, str]) -> list[Span]:
     """Base spans and those of ``terms``, by start and kind."""
     base = base_spans(text)
-    if not terms or terms.keys().isdisjoint(_lower_words(text)):
+    if not terms or terms.keys().isdisjoint(_lowered(text)):
         return base
     return sorted(base + [(a, 4, b) for a, b, w in words_outside(text, base) if w in terms])
 
 
+def _lowered(text: str) -> list[str]:
+    """The lower-case words; only lower-casing of ASCII texts as a whole leaves their bounds as they are."""
+    return _WORD.findall(text.lower()) if text.isascii() else [w.lower() for w in _WORD.findall(text)]
+
+
 def _lower_words(text: str) -> set[str]:
-    return {w.lower() for w in _WORD.findall(text)}
+    return set(_lowered(text))
 
 
 def joined(spans: Iterable[Span]) -> str:
