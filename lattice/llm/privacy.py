@@ -38,6 +38,8 @@ WINDOW, CONTEXTS, DISCLOSED = 10, 2.5, 0.9
 KEPT = 3
 #: Terms that are sent to every task at once; more are joined.
 TERMS = 1 << 18
+#: Terms that are looked for one by one before a text is split into words.
+FEW = 64
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -45,6 +47,8 @@ _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _DIGITS = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\W\d_]{3,}+")
+_LETTERS = re.compile(r"[a-z]{3,}+")
+_DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 Span = tuple[int, int, int]
@@ -68,6 +72,8 @@ def base_spans(text: str) -> list[Span]:
             if at < m.start():
                 done = m.end()
                 out.append((at, 0, done))
+    if not _DIGIT.search(text):
+        return out
     for m in _DOTTED.finditer(text):
         parts = m[0].split(".")
         at = m.start()
@@ -174,8 +180,10 @@ def _everywhere(texts: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
             found: Counter[str] = Counter()
             for text in _texts([b]):
                 spans = base_spans(text)
-                found.update([w[2] for w in words_outside(text, spans)] if spans else _lowered(text))
-            total += found.total()
+                words = [w[2] for w in words_outside(text, spans)] if spans else _lowered(text)
+                total += len(words)
+                # a wanted term has a wanted head
+                found.update(words if heads is None else [w for w in words if w[:KEPT] in heads])
             # a batch's distinct words, not each text's, are looked up
             for t, n in found.items():
                 if wanted is None or t in wanted:
@@ -234,14 +242,29 @@ def disclosing_terms(docs: DataFrame, *, text: str = "text") -> DataFrame:
 def all_spans(text: str, terms: Mapping[str, str]) -> list[Span]:
     """Base spans and those of ``terms``, by start and kind."""
     base = base_spans(text)
-    if not terms or terms.keys().isdisjoint(_lowered(text)):
+    if not terms or len(terms) <= FEW and not _may_hold(text, terms) or terms.keys().isdisjoint(_lowered(text)):
         return base
     return sorted(base + [(a, 4, b) for a, b, w in words_outside(text, base) if w in terms])
 
 
+def _whole(text: str) -> bool:
+    """Whether the text can be lower-cased as a whole: a sigma depends on what is beside it, and the dotted I becomes two characters."""
+    return text.isascii() or "\u03a3" not in text and "\u0130" not in text
+
+
+def _may_hold(text: str, terms: Iterable[str]) -> bool:
+    """False only if none of ``terms`` is a lower-case word of the text."""
+    if not _whole(text):
+        return True
+    low = text.lower()
+    return any(t in low for t in terms)
+
+
 def _lowered(text: str) -> list[str]:
-    """The lower-case words; only lower-casing of ASCII texts as a whole leaves their bounds as they are."""
-    return _WORD.findall(text.lower()) if text.isascii() else [w.lower() for w in _WORD.findall(text)]
+    """The lower-case words."""
+    if text.isascii():
+        return _LETTERS.findall(text.lower())
+    return _WORD.findall(text.lower()) if _whole(text) else [w.lower() for w in _WORD.findall(text)]
 
 
 def _lower_words(text: str) -> set[str]:

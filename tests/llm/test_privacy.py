@@ -138,3 +138,29 @@ def test_query_covers_the_documents(spark):
     for r in docs:
         base = ",".join(f"{P.KINDS[k]}:{a}:{b}" for a, k, b in plain(r["text"] or ""))
         assert rows[r["doc_id"]]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+
+
+def test_only_words_of_wanted_heads_are_counted(spark):
+    # the counts are those of all words, whatever else the texts hold
+    texts = spark.createDataFrame([("Leaked leak other words the",), ("leaking \u0130leak \u03a3\u0391\u03a3 LEAKED 1.2.3.4 more",)], "text string")
+    got = {(r["general"], r["term"]): r["n"] for r in P._everywhere(texts, frozenset({"leaked"})).groupBy("general", "term").sum("n").toDF("general", "term", "n").collect()}
+    assert got == {(False, "leaked"): 2, (True, "lea"): 4, (False, None): 10}
+
+
+def test_words_are_lower_cased_as_each_by_itself():
+    import sys
+
+    # of all characters the dotted I alone changes the bounds of words, and sigma alone depends on what is beside it
+    letter = lambda c: bool(P._WORD.fullmatch(c * 3))
+    odd = [c for c in map(chr, range(sys.maxunicode + 1)) if not 0xD800 <= ord(c) < 0xE000 and (len(c.lower()) != 1 or letter(c) != letter(c.lower()))]
+    assert odd == ["\u0130"]
+    for text in ("\u0391\u03a3'\u0391\u03a3\u0391 \u0391\u0391\u03a3'\u0391", "\u0130stanbul ABC\u0130 xyz", "\u00c9cole ABC d\u00c9f"):
+        words = [w.lower() for w in P._WORD.findall(text)]
+        assert P._lowered(text) == words and all(P._may_hold(text, [w]) for w in words)
+
+
+def test_a_text_without_a_term_is_not_split_into_words(monkeypatch):
+    split = []
+    monkeypatch.setattr(P, "_lowered", lambda t: split.append(t) or t.lower().split())
+    assert P.all_spans("nothing of it here", {"leaked": "remove"}) == [] and not split
+    assert P.all_spans("it Leaked here", {"leaked": "remove"}) == [(3, 4, 9)]
