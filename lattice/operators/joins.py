@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lattice.operators.fragments import fragments_held, listed
+
 
 def _grams(text: Column, n: int) -> Column:
     """The distinct pieces of ``n`` characters; ``text`` is an array of characters."""
@@ -17,14 +20,18 @@ def _grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.filter(pieces, lambda g: g.isNotNull()))
 
 
-def contains_join(texts: DataFrame, text: str, fragments: DataFrame, fragment: str, gram: int = 3, by: Sequence[str] = ()) -> DataFrame:
+def contains_join(texts: DataFrame, text: str, fragments: DataFrame, fragment: str, gram: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Rows of both sides that agree in ``by`` and whose ``text`` holds ``fragment`` literally; empty and null fragments match nothing.
 
-    A fragment meets only the texts that hold its rarest piece of ``gram`` characters (of its own length, if it is
+    Without ``by`` and ``gram``, fragments that fit a list (``fragments.listed``) go to the tasks, and texts are searched where they are,
+    without an exchange. Others are keyed (``gram`` is 3 then): a fragment meets only the texts that hold its rarest piece of ``gram`` characters (of its own length, if it is
     shorter), by counts of the texts that hold each piece; the whole is verified after. Pieces travel with the
     text's digest, and the text joins again when the candidates are known. No nested loop.
     """
     by = list(by)
+    if not by and gram is None and (few := listed(fragments, fragment)) is not None:
+        return _listed_join(texts, text, fragments, fragment, *few)
+    gram = gram or 3
     digest = [F.xxhash64(F.col(text)).alias("__h1"), F.xxhash64(F.col(text), F.lit(1)).alias("__h2")]
     f = fragments.where(F.length(fragment) > 0).select(*by, F.col(fragment).alias("__f")).distinct()
     f = f.withColumn("__chars", F.split("__f", "")).withColumn("__chars", F.filter("__chars", lambda c: c != ""))
@@ -51,6 +58,18 @@ def contains_join(texts: DataFrame, text: str, fragments: DataFrame, fragment: s
     return out
 
 
+def _listed_join(texts: DataFrame, text: str, fragments: DataFrame, fragment: str, few: pa.Array, once: bool) -> DataFrame:
+    # columns of both sides go by number until the end, so that equal names do not meet
+    left = texts.select(*[F.col(c).alias(f"__left{i}") for i, c in enumerate(texts.columns)])
+    own = [f"__left{i}" for i in range(len(texts.columns))]
+    found = fragments_held(left, own[texts.columns.index(text)], few, "__held").select(*own, F.explode("__held").alias("__f"))
+    if once and fragments.columns == [fragment]:
+        found = found.withColumn("__right0", F.col("__f"))
+    else:
+        found = found.join(fragments.select(F.col(fragment).alias("__f"), *[F.col(c).alias(f"__right{i}") for i, c in enumerate(fragments.columns)]), "__f")
+    return found.select(*[F.col(f"__left{i}").alias(c) for i, c in enumerate(texts.columns)], *[F.col(f"__right{i}").alias(c) for i, c in enumerate(fragments.columns)])
+
+
 def interval_assign(points: DataFrame, at: str, marks: DataFrame, start: str, by: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
     """Each point with ``carry`` of the last mark at or before it (null before the first), per ``by``.
 

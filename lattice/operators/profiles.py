@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattice.operators.fragments import fragments_held, listed
 from lattice.operators.joins import contains_join
 from lattice.operators.vectors import knn
 
@@ -33,11 +34,18 @@ def stored_profiles(profiles: DataFrame) -> DataFrame:
 def product_links(makers: DataFrame, docs: DataFrame, source_type: str, *, username: str = "username", key: str = "doc_id", content: str = "content") -> DataFrame:
     """src and dst of each profile whose name occurs in the content of a document of the type.
 
-    The join is keyed by pieces of the texts and then verified, without a nested loop.
+    Names that fit a list are searched for in the tasks, in all contents of a document at once, so that no link is found twice. More
+    are joined by pieces of the texts and then verified, without a nested loop.
     """
     own = docs.where(F.col("source_type") == source_type).select(F.col(key).alias("dst"), F.col(content).alias("__content"))
     names = makers.select(F.col(username).alias("src")).where(F.col("src") != "").distinct()
-    return contains_join(own, "__content", names, "src").select("src", "dst").distinct()
+    if (few := listed(names, "src")) is None:
+        return contains_join(own, "__content", names, "src").select("src", "dst").distinct()
+    # a character that is in no name keeps the contents apart
+    used = set("".join(few[0].to_pylist()))
+    apart = next(c for c in map(chr, range(1, 0x10000)) if c not in used)
+    whole = own.groupBy("dst").agg(F.array_join(F.collect_set("__content"), apart).alias("__content"))
+    return fragments_held(whole, "__content", few[0], "__held").select(F.explode("__held").alias("src"), "dst")
 
 
 def profile_content() -> Column:

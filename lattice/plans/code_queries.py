@@ -428,7 +428,7 @@ def profile_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 'u' || s_suppkey AS src, doc_id AS dst FROM supplier JOIN (SELECT l_partkey AS doc_id, string_agg('Makers: User u' || l_suppkey, '; ' ORDER BY l_suppkey) AS content FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) GROUP BY 1) ON contains(content, 'u' || s_suppkey) WHERE s_suppkey % 5 <> 0")
 def profile_links(spark: SparkSession, d: str) -> DataFrame:
-    line = load(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    line = load(spark, d, "lineitem").select("l_partkey", "l_suppkey").repartition("l_partkey")  # one exchange, of plain rows
     docs = line.groupBy(F.col("l_partkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_set("l_suppkey")), lambda s: F.concat(F.lit("Makers: User u"), text(s))), "; ").alias("content"))
     return product_links(stored_profiles(profiles(spark, d)), docs.withColumn("source_type", F.lit("x-product")), "x-product")
 
