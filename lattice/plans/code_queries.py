@@ -470,16 +470,16 @@ def source_symbols(spark: SparkSession, d: str) -> DataFrame:
 def source_calls(spark: SparkSession, d: str) -> DataFrame:
     from lattice.sources import code as C
 
-    records = C.parse(source_tree(spark, d))
-    return C.call_edges(records, C.symbols(records))
+    records = C.stored(C.parse(source_tree(spark, d)), "symbol", "call")
+    return C.call_edges(records, C.symbols(records), again=True)
 
 
 @query(_SOURCE + "SELECT DISTINCT project || '|' || a.path || '|K' || (o_orderkey % 300) AS src, project || '|' || b.path || '|' || name AS dst FROM o a JOIN (SELECT * FROM symbol WHERE kind = 'class') b USING (project) WHERE name = 'K' || (o_orderkey % 300 - 1)")
 def source_inherits(spark: SparkSession, d: str) -> DataFrame:
     from lattice.sources import code as C
 
-    records = C.parse(source_tree(spark, d))
-    return C.inherit_edges(records, C.symbols(records))
+    records = C.stored(C.parse(source_tree(spark, d)), "symbol", "inherit")
+    return C.inherit_edges(records, C.symbols(records), again=True)
 
 
 @query(_SOURCE + "SELECT project || '|' || path AS src, 'part' || (o_orderkey % 50) AS dst FROM o WHERE o_orderkey % 50 < 25")

@@ -9,13 +9,17 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Iterator
+from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattice.operators.joins import contains_join
+from lattice.session import scratch
 
+_COLUMNS = ["project", "path", "lang", "what", "name", "extra", "line"]
 RECORD = "project STRING, path STRING, lang STRING, what STRING, name STRING, extra STRING, line BIGINT"
 
 # Calls that say nothing about a program, by language.
@@ -65,6 +69,9 @@ _BASES = {
     "ruby": r"^\s*class\s+(?P<n>\w+)\s*<\s*(?P<b>[\w:]+)",
     "cpp": r"\b(?:class|struct)\s+(?P<n>\w+)\s*(?:final\s*)?:\s*(?P<b>[\w:,\s<>]+?)\s*\{",
 }
+_PYTHON_NOISE = frozenset(NOISE["python"].split())
+#: What has no nodes of interest below, and is none: values of fields that are no nodes, names, constants, contexts and operators.
+_LEAVES = frozenset({str, int, float, complex, bytes, bool, type(None), type(...), ast.Name, ast.Constant, ast.Pass, ast.Break, ast.Continue, ast.Global, ast.Nonlocal, ast.alias, *[k for base in (ast.expr_context, ast.boolop, ast.operator, ast.unaryop, ast.cmpop) for k in base.__subclasses__()]})
 _CALL = re.compile(r"(?<![\w.])(?:[\w\])]+\s*(?:\.|::|->)\s*)*(?P<n>[A-Za-z_]\w*[?!]?)\s*\(")
 _C_LIKE = re.compile(r"//[^\n]*|/\*.*?\*/", re.S)
 _HASH = re.compile(r"#[^\n]*")
@@ -82,6 +89,19 @@ def parse_file(text: str | None, lang: str, deep: bool = True) -> list[tuple[str
     return _python(text, deep) if lang == "python" else _patterns(text, _ALIAS.get(lang, lang), deep)
 
 
+def _inner(tree: ast.AST) -> list[ast.AST]:
+    """The nodes of ``ast.walk`` in its order, but for those that have no others below."""
+    out = [tree]
+    for node in out:
+        for field in node._fields:
+            v = getattr(node, field, None)
+            if type(v) is list:
+                out += [x for x in v if type(x) not in _LEAVES]
+            elif type(v) not in _LEAVES:
+                out.append(v)
+    return out
+
+
 def _python(text: str, deep: bool) -> list[tuple[str, str, str | None, int]]:
     try:
         tree = ast.parse(text)
@@ -95,8 +115,8 @@ def _python(text: str, deep: bool) -> list[tuple[str, str, str | None, int]]:
             seen.add((what, name))
             out.append((what, name, None, line))
 
-    noise = set(NOISE["python"].split())
-    for node in ast.walk(tree):
+    noise = _PYTHON_NOISE
+    for node in _inner(tree):
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             out.append(("symbol", node.name, "function", node.lineno))
         elif isinstance(node, ast.ClassDef):
@@ -151,13 +171,30 @@ def _patterns(text: str, lang: str, deep: bool) -> list[tuple[str, str, str | No
 def parse(tree: DataFrame, deep: bool = True) -> DataFrame:
     """RECORD rows of (project, path, lang, text)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["project", "path", "lang", "what", "name", "extra", "line"]
-        for f in frames:
-            rows = [(p, path, lang, *r) for p, path, lang, text in f.itertuples(index=False) for r in parse_file(text, lang, deep)]
-            yield pd.DataFrame(rows, columns=columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [parse_file(text, lang, deep) for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True)]
+            file = pa.array(np.repeat(np.arange(b.num_rows), [len(r) for r in found]))
+            what, name, extra, line = zip(*chain.from_iterable(found), strict=True) if len(file) else ((), (), (), ())
+            own = [b.column(c).take(file) for c in ("project", "path", "lang")]
+            yield pa.RecordBatch.from_arrays([*own, *[pa.array(x, pa.string()) for x in (what, name, extra)], pa.array(line, pa.int64())], _COLUMNS)
+
+    return tree.select("project", "path", "lang", "text").mapInArrow(run, RECORD)
+
+
+def stored(records: DataFrame, *what: str) -> DataFrame:
+    """The records of these kinds, written once below the checkpoint folder: edges read them several times, and texts are parsed once."""
+    where = scratch(records.sparkSession, "records")
+    records.where(F.col("what").isin(*what)).write.option("compression", "zstd").parquet(where)
+    return records.sparkSession.read.parquet(where)
 
-    return tree.select("project", "path", "lang", "text").mapInPandas(run, RECORD)
+
+def _distinct_ids(records: DataFrame) -> bool:
+    """Whether ids of files and symbols tell projects, paths and names apart: none has a bar or is null. A pass over the records."""
+    odd = F.lit(False)
+    for c in ("project", "path", "name"):
+        odd = odd | F.col(c).isNull() | F.contains(c, F.lit("|"))
+    return records.where(odd).isEmpty()
 
 
 def symbols(records: DataFrame) -> DataFrame:
@@ -205,16 +242,29 @@ def import_edges(records: DataFrame, files: DataFrame, packages: DataFrame, fait
     return both.select("src", "dst").distinct(), out.select("src", "dst").distinct()
 
 
-def call_edges(records: DataFrame, nodes: DataFrame) -> DataFrame:
-    """CALLS edges to every symbol of the name in another file of the project."""
+def call_edges(records: DataFrame, nodes: DataFrame, again: bool = False) -> DataFrame:
+    """CALLS edges to every symbol of the name in another file of the project.
+
+    ``again``: the records are ``stored``. Then, if ids tell everything apart, calls are made distinct and not their edges.
+    """
     c = records.where(F.col("what") == "call").select("project", "path", "name")
+    once = again and _distinct_ids(records)
+    c = c.distinct() if once else c
     s = nodes.select("project", F.col("name"), F.col("id").alias("dst"), "file")
-    return c.join(s, ["project", "name"]).where(F.col("path") != F.col("file")).select(F.concat_ws("|", "project", "path").alias("src"), "dst").distinct()
+    out = c.join(s, ["project", "name"]).where(F.col("path") != F.col("file")).select(F.concat_ws("|", "project", "path").alias("src"), "dst")
+    return out if once else out.distinct()
 
 
-def inherit_edges(records: DataFrame, nodes: DataFrame) -> DataFrame:
-    """INHERITS edges between symbols of the names in a project, child and parent not one symbol."""
+def inherit_edges(records: DataFrame, nodes: DataFrame, again: bool = False) -> DataFrame:
+    """INHERITS edges between symbols of the names in a project, child and parent not one symbol.
+
+    They are as many as the classes of a name times those that name it as their base. ``again``: the records are ``stored``. Then, if ids
+    tell everything apart, children are made distinct and not the edges, which go through no exchange.
+    """
     r = records.where(F.col("what") == "inherit").select("project", "path", F.col("name").alias("child"), F.col("extra").alias("parent"))
     a = nodes.select("project", F.col("file").alias("path"), F.col("name").alias("child"), F.col("id").alias("src"))
     b = nodes.select("project", F.col("name").alias("parent"), F.col("id").alias("dst"))
+    if again and _distinct_ids(records):
+        left = r.distinct().join(a, ["project", "path", "child"]).select("project", "parent", "src")
+        return left.join(b, ["project", "parent"]).where(F.col("src") != F.col("dst")).select("src", "dst")
     return r.join(a, ["project", "path", "child"]).join(b, ["project", "parent"]).where(F.col("src") != F.col("dst")).select("src", "dst").distinct()
