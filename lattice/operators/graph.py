@@ -119,6 +119,28 @@ def degree(edges: DataFrame, label: str | None = None) -> DataFrame:
     return incidence(edges, label).groupBy("label", "id").agg(F.count("*").alias("connections"))
 
 
+def degree_of(g: Graph, label: str, ids: DataFrame) -> DataFrame:
+    """id and connections of the nodes of ``label`` whose id is in ``ids`` (id): edges of any type in either direction, a self-loop once.
+
+    Only tables of edges with an end of the label are read, and only ends among ``ids``, which should be few of all, are counted:
+    those of each table first, so that what is exchanged is a row for each id.
+    """
+    own = ids.select(F.col("id").alias("__own")).distinct()
+    counted: DataFrame | None = None
+    for t in g.triples():
+        for end, other in (("src", "dst"), ("dst", "src")):
+            if t[0 if end == "src" else 2] != label:
+                continue
+            e = g.edges[t].select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
+            if end == "dst" and t[0] == label:
+                e = e.where(~F.col("src").eqNullSafe(F.col("dst")))  # counted at its other end
+            part = e.join(own, F.col(end) == F.col("__own"), "left_semi").groupBy(F.col(end).alias("id")).agg(F.count("*").alias("n"))
+            counted = part if counted is None else counted.unionByName(part)
+    if counted is None:
+        return g.spark.createDataFrame([], "id string, connections bigint")
+    return counted.groupBy("id").agg(F.sum("n").alias("connections"))
+
+
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, *, checkpoint: bool = True) -> DataFrame:
     """id and hops (least, 1 to ``depth``) of the nodes that directed paths of up to ``depth`` edges reach.
 

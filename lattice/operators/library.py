@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattice.operators.graph import Graph, degree, expand, shared_endpoints
+from lattice.operators.graph import Graph, degree_of, expand, shared_endpoints
 
 SESSION_ACTIONS = ("TOUCHED", "EDITED", "CREATED")
 
@@ -119,6 +119,6 @@ def session_stats(g: Graph) -> DataFrame:
 def most_connected(g: Graph, project: str, limit: int = 8, at_least: int = 3) -> DataFrame:
     """The files of most edges: first the top ``limit``, then those with ``at_least``."""
     files = g.node("File").where(F.col("project") == project)
-    d = degree(g.edge(), "File")
+    d = degree_of(g, "File", files)
     out = d.join(files.select("id", "path"), "id").select("path", "connections").orderBy(F.desc("connections"), "path").limit(limit)
     return out.where(F.col("connections") >= at_least)

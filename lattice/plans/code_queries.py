@@ -20,6 +20,7 @@ from lattice.operators.profiles import product_links, profile_search, stored_pro
 from lattice.plans import workload
 from lattice.plans.star import load
 from lattice.plans.workload import bars, query
+from lattice.session import scratch
 
 P = "NATION_7"
 ACTIONS = {"view": "TOUCHED", "click": "EDITED", "purchase": "CREATED"}
@@ -29,16 +30,30 @@ def text(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
-def code_graph(spark: SparkSession, d: str) -> Graph:
-    """The tables as a graph of the engine's schema."""
+def code_graph(spark: SparkSession, d: str, only: str | None = None) -> Graph:
+    """The tables as a graph of the engine's schema.
+
+    ``only``: files, symbols and their edges are those of one project, for reports on it; its files have no edges with files of others, as
+    all orders of a customer are of one project. They and their lines are written once, so that the whole tables are joined once and not for each part.
+    """
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        if only is None:
+            return df
+        where = scratch(spark, name)
+        df.write.option("compression", "zstd").parquet(where)
+        return spark.read.parquet(where)
+
     nation, customer, supplier, part, orders, line, events = (load(spark, d, t) for t in ("nation", "customer", "supplier", "part", "orders", "lineitem", "events"))
     none = F.lit("")
     project = nation.select(F.col("n_name").alias("id"), F.col("n_name").alias("name"), F.concat(F.lit("stack"), text("n_regionkey")).alias("stack"), F.concat(F.lit("/"), "n_name").alias("path"), F.lit("active").alias("status"), F.lit(False).alias("has_claude_md"), F.concat(F.lit("nation "), text("n_nationkey")).alias("description"))
     owner = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("project"))
+    owner = owner if only is None else owner.where(F.col("project") == only)
     path = F.concat_ws("/", "o_orderstatus", F.substring("o_orderpriority", 1, 1), text("o_orderkey"))
     files = orders.join(owner, F.col("o_custkey") == F.col("c_custkey")).select(F.concat_ws("|", "project", path).alias("id"), path.alias("path"), "project", F.col("o_orderpriority").alias("lang"), F.floor("o_totalprice").alias("lines"), "o_orderkey", "o_custkey")
+    files = kept(files, "files")
     suffix = F.when(F.col("l_returnflag") == "A", "Create").when(F.col("l_returnflag") == "R", "Mixin").otherwise("")
-    own = line.join(files, F.col("l_orderkey") == F.col("o_orderkey"))
+    own = kept(line.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity").join(files, F.col("l_orderkey") == F.col("o_orderkey")), "lines")
     symbols = own.select(
         F.concat_ws("|", "id", text("l_linenumber"), text("l_partkey"), text("l_suppkey")).alias("id"), F.concat(F.lit("S"), text(F.col("l_partkey") % 40), suffix).alias("name"), "project", F.col("path").alias("file"),
         F.when(F.col("l_linestatus") == "O", "class").otherwise("interface").alias("kind"), F.col("l_linenumber").cast("bigint").alias("line"), F.col("id").alias("file_id"),
@@ -201,7 +216,7 @@ def code_patterns(spark: SparkSession, d: str) -> DataFrame:
 @code(f"""SELECT name, stack, description, (SELECT count(*) FROM file WHERE project = p.name) AS files, (SELECT count(*) FROM symbol WHERE project = p.name) AS symbols, (SELECT count(*) FROM depends WHERE src = p.name) AS packages,
 (SELECT count(DISTINCT lang) FROM file WHERE project = p.name) AS languages, (SELECT least(12, count(DISTINCT {_KEY.format('path')})) FROM file WHERE project = name) AS layers, (SELECT count(*) FROM ({_PATTERNS})) AS patterns, (SELECT least(15, count(*)) FROM depends WHERE src = name) AS dependencies, (SELECT least(8, count(*)) FROM degree JOIN file USING (id) WHERE project = name AND connections >= 3) AS hubs FROM project p WHERE name = '{P}'""")
 def code_overview(spark: SparkSession, d: str) -> DataFrame:
-    o = R.overview(code_graph(spark, d), P) or {"counts": {}}
+    o = R.overview(code_graph(spark, d, P), P) or {"counts": {}}
     row = (o.get("name"), o.get("stack"), o.get("description"), *(o["counts"].get(k) for k in ("files", "symbols", "packages")), *(len(o.get(k, ())) for k in ("languages", "layers", "patterns", "dependencies", "hub_files")))
     return spark.createDataFrame([row], "name string, stack string, description string, files bigint, symbols bigint, packages bigint, languages bigint, layers bigint, patterns bigint, dependencies bigint, hubs bigint")
 
